@@ -15,7 +15,7 @@ from contextlib import suppress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes of text that one numpy step handles; a single longer text is handled alone.
 SLICE_BYTES = 1 << 21
@@ -98,6 +98,11 @@ def text_slices(batch: pa.RecordBatch, column: int | str) -> Iterator[tuple[pa.R
         yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
 
 
+def schema_with(df: DataFrame, ddl: str) -> StructType:
+    """df's columns and those of ddl."""
+    return StructType([*df.schema.fields, *DataType.fromDDL(ddl).fields])
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply step to every Arrow batch of df."""
 
@@ -116,6 +121,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def within(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes told apart by text, from mixed hashes and the numbers of their texts."""
+    return mix(hashes * _BASE + doc.astype(np.uint64))
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
 
-from .common import ALNUM_BYTES, LOWER, map_batches, mix, ragged, shingle_hashes, span_hashes, text_bytes, text_slices, word_spans
+from .common import ALNUM_BYTES, LOWER, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_bytes, text_slices, word_spans
 
 WINDOW_WORDS = 10
 #: Words of benchmark text in one broadcast block; its index takes about 200 bytes a word.
@@ -177,8 +176,7 @@ def find_contamination(
     shared = [context.broadcast(with_prefixes(b, token_counts(docs, b.tokens()[0], text))) for b in blocks(benchmark, window, item, text)]
     keep = [key] if keep is None else keep
     n = len(keep)
-    words_only = DataType.fromDDL("n_words long, n_hit long, n_items long, items array<string>, hit_starts array<long>, hit_ends array<long>")
-    schema = StructType([*docs.select(*keep).schema.fields, *words_only.fields])
+    schema = schema_with(docs.select(*keep), "n_words long, n_hit long, n_items long, items array<string>, hit_starts array<long>, hit_ends array<long>")
     long_list = pa.list_(pa.int64())
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_classifier
+from . import decontaminate, quality_classifier, quality_rules
 from .common import table
 
 #: A document is predicted to be good from this score on.
@@ -45,8 +45,14 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
