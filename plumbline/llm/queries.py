@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_classifier, quality_rules
+from . import decontaminate, packing, pii, quality_classifier, quality_rules, url_filter
 from .common import table
 
 #: A document is predicted to be good from this score on.
@@ -56,8 +56,33 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: Rules of op3: host and its subdomains, start of the path, verdict.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.train(spark), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+#: Key of op4's pseudonyms; a deployment sets its own secret.
+PII_KEY = "plumbline"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_url_filters": op3_url_filters,
+    "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
