@@ -22,12 +22,12 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, map_batches, ragged, schema_with, span_hashes, text_slices, word_spans, written
+from .common import LOWER, SPACE_BYTES, map_batches, ragged, schema_with, span_hashes, text_slices, word_spans, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker keeps the ids of; beyond, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class CapacityTree:
@@ -116,8 +116,20 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return Plan(capacity, *(np.array([r[k] for r in runs], dtype=np.int64) for k in range(5)), opened)
 
 
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+#: How the tokenizer's special tokens start, which it finds before it lower-cases.
+MARK = b"<|"
+
+
 class WordEncoder:
-    """Ids of texts, word by word. White space ends a word for the tokenizer, so a text's ids are its words' ids."""
+    """Ids of texts, word by word, for a tokenizer that lower-cases, drops white space and tells letters from marks.
+
+    White space ends a word for it, and so does a mark after an ASCII letter or digit; so a text's ids are its words'
+    ids, and each word is encoded once.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -131,33 +143,38 @@ class WordEncoder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Add words whose sorted hashes aren't known yet."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.array([len(x) for x in found], dtype=np.int64)
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.first, self.count = (np.insert(old, at, new) for old, new in ((self.known, hashes), (self.first, first), (self.count, count)))
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes are among the known ones, and which aren't."""
+        if not len(self.known):
+            return np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return at, np.flatnonzero(self.known[at] != hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, END_ID after each, and n + 1 offsets into them."""
         start, end, text_word = word_spans(data, offsets, SPACE_BYTES)
+        if MARK not in data.tobytes():
+            data = LOWER[data]
+            start, end = _split_marks(data, start, end)
+            text_word = np.searchsorted(start, offsets)
         hashes, example, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        for again in range(2):
-            at = np.searchsorted(self.known, hashes)
-            at[at == len(self.known)] = 0
-            new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
-            if not len(new):
-                break
-            if again or len(self.known) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = np.arange(len(hashes))
+        _, new = self._find(hashes)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self._clear()
+            new = np.arange(len(hashes))
+        if len(new):
             raw = data.tobytes()
             self._learn(hashes[new], [raw[start[k] : end[k]].decode() for k in example[new]])
-        at = np.searchsorted(self.known, hashes)
+        at, _ = self._find(hashes)
         word_count = self.count[at][back]
         ids = self.ids[ragged(self.first[at][back], word_count)]
         upto = np.concatenate([[0], np.cumsum(word_count)])[text_word]
@@ -169,6 +186,14 @@ class WordEncoder:
         return out, np.concatenate([[0], stops])
 
 
+def _split_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the ASCII marks at their end as words of their own, where an ASCII letter or digit stands before."""
+    last = np.maximum.accumulate(np.where(_MARKS[data], -1, np.arange(len(data))))
+    cut = last[end - 1] + 1
+    cut = cut[(cut > start) & (cut < end) & _ALNUM[data[np.maximum(cut, 1) - 1]]]
+    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
