@@ -9,6 +9,8 @@ numeric format, become keyed digests. Each document is handled by itself; nothin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,18 @@ PHONE = r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9A-Za-z])(?=\())\(?[0-9]{3}\)?[ .-]?[0-9]
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9A-Za-z])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])"
-PATTERN = "|".join((EMAIL, PHONE, DATE, SOCIAL, CARD, ADDRESS))
+#: A candidate's first character is tested first, so that other characters cost one comparison.
+NUMBERS = "(?=[0-9+(])(?:" + "|".join((PHONE, DATE, SOCIAL, CARD, ADDRESS)) + ")"
+#: For the texts that have an "@".
+PATTERN = EMAIL + "|" + NUMBERS
 KINDS = ("email", "phone", "date", "social", "card", "address")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _round(key: str, tweak: Column, turn: Column, half: Column) -> Column:
     """60 bits of a keyed digest."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), half.cast("string")), 256)
@@ -49,10 +59,14 @@ def _power(n: Column) -> Column:
 
 def permute_digits(digits: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the digit strings of each length, 2 to 20."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    mixed = feistel(digits.substr(F.lit(1), u), digits.substr(u + 1, n - u), _power(u), _power(n - u), key, F.concat(F.lit(kind), n.cast("string")))
-    return F.concat(F.lpad(mixed["a"].cast("string"), u, "0"), F.lpad(mixed["b"].cast("string"), n - u, "0"))
+
+    def permuted(d: Column) -> Column:
+        n = F.length(d)
+        u = F.floor(n / 2).cast("int")
+        mixed = feistel(d.substr(F.lit(1), u), d.substr(u + 1, n - u), _power(u), _power(n - u), key, F.concat(F.lit(kind), n.cast("string")))
+        return _let(mixed, lambda m: F.concat(F.lpad(m["a"].cast("string"), u, "0"), F.lpad(m["b"].cast("string"), n - u, "0")))
+
+    return _let(digits, permuted)
 
 
 def _digit(digits: Column, i: Column) -> Column:
@@ -61,23 +75,30 @@ def _digit(digits: Column, i: Column) -> Column:
 
 def luhn_sum(digits: Column) -> Column:
     """Sum of the digits, every second one from the right doubled and cast out by nines."""
-    n = F.length(digits)
 
-    def value(i: Column) -> Column:
-        d = _digit(digits, i)
-        return F.when((n - i) % 2 == 1, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+    def total(d: Column) -> Column:
+        n = F.length(d)
+
+        def value(i: Column) -> Column:
+            x = _digit(d, i)
+            return F.when((n - i) % 2 == 1, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, b: a + b)
+        return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, b: a + b)
+
+    return _let(digits, total)
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced by these, in order."""
 
-    def at(i: Column) -> Column:
-        seen = F.length(F.regexp_replace(shape.substr(F.lit(1), i), "[^0-9]", ""))
-        return F.when(shape.substr(i, F.lit(1)).rlike("[0-9]"), digits.substr(seen, F.lit(1))).otherwise(shape.substr(i, F.lit(1)))
+    def filled(d: Column) -> Column:
+        def at(i: Column) -> Column:
+            seen = F.length(F.regexp_replace(shape.substr(F.lit(1), i), "[^0-9]", ""))
+            return F.when(shape.substr(i, F.lit(1)).rlike("[0-9]"), d.substr(seen, F.lit(1))).otherwise(shape.substr(i, F.lit(1)))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
+    return _let(digits, filled)
 
 
 def _only_digits(value: Column) -> Column:
@@ -120,24 +141,44 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _card(digits: Column, key: str) -> Column:
+    body = permute_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
+    return _let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+
+
+def _address(value: Column, key: str) -> Column:
+    def permuted(o: Column) -> Column:
+        pair = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, F.lit("address"))
+        return _let(pair, lambda p: F.concat_ws(".", *(x.cast("string") for half in (p["a"], p["b"]) for x in (F.floor(half / 256), half % 256))))
+
+    return _let(F.transform(F.split(value, r"\."), lambda o: o.cast("int")), permuted)
+
+
+def _phone(digits: Column, key: str) -> Column:
+    prefix = F.length(digits) - 10
+    return F.concat(digits.substr(F.lit(1), prefix), permute_digits(digits.substr(prefix + 1, F.lit(10)), key, "phone"))
+
+
+def _date(value: Column, key: str) -> Column:
+    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), _permute_day(_day(value), key))
+    return _let(day, lambda d: F.when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
+
+
+def _email(value: Column, key: str) -> Column:
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256)
+    return F.concat(F.lit("u"), F.substring(digest, 1, 12), F.lit("@example.invalid"))
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid value; other values stay as they are."""
     digits = _only_digits(value)
-    n = F.length(digits)
-    body = permute_digits(digits.substr(F.lit(1), n - 1), key, "card")
-    checked = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
-    pair = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), key, F.lit("address"))
-    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), _permute_day(_day(value), key))
-    prefix = n - 10
-    phone = F.concat(digits.substr(F.lit(1), prefix), permute_digits(digits.substr(prefix + 1, F.lit(10)), key, "phone"))
     return (
-        F.when(kind == "email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 12), F.lit("@example.invalid")))
-        .when(kind == "phone", _refill(value, phone))
-        .when(kind == "date", F.when(value.contains("/"), F.date_format(day, "dd/MM/yyyy")).when(value.contains("."), F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd")))
+        F.when(kind == "email", _email(value, key))
+        .when(kind == "phone", _refill(value, _phone(digits, key)))
+        .when(kind == "date", _date(value, key))
         .when(kind == "social", _refill(value, permute_digits(digits, key, "social")))
-        .when(kind == "card", _refill(value, checked))
-        .when(kind == "address", F.concat_ws(".", *(F.floor(h / 256).cast("string") if top else (h % 256).cast("string") for h in (pair["a"], pair["b"]) for top in (True, False))))
+        .when(kind == "card", _refill(value, _card(digits, key)))
+        .when(kind == "address", _address(value, key))
         .otherwise(value)
     )
 
@@ -152,13 +193,17 @@ def pseudonymize(docs: DataFrame, key: str, *, text: str = "text", counts: bool
     names = [f"pii_{k}" for k in KINDS]
     kept = docs.drop(*names, "n_pii") if counts else docs
     none = F.expr("CAST(array() AS array<string>)")
-    candidate = F.col(text).rlike("[0-9]") & F.col(text).rlike(PATTERN)
-    found = kept.withColumn("__found", F.when(candidate, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(none))
+    value = F.col(text)
+
+    def by_pattern(use: Callable[[str], Column]) -> Column:
+        return F.when(value.contains("@"), use(PATTERN)).when(value.rlike("[0-9]"), use(NUMBERS))
+
+    found = kept.withColumn("__found", F.coalesce(by_pattern(lambda p: F.regexp_extract_all(value, F.lit(p), F.lit(0))), none))
     kinds = found.withColumn("__kinds", F.transform("__found", kind_of))
     fresh = kinds.withColumn("__new", F.zip_with("__found", "__kinds", lambda v, k: pseudonym(v, k, key)))
-    gaps = fresh.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(F.col(text), PATTERN, -1)).otherwise(none))
+    gaps = fresh.withColumn("__gaps", F.when(F.size("__found") > 0, by_pattern(lambda p: F.split(value, p, -1))).otherwise(none))
     joined = F.array_join(F.zip_with("__gaps", "__new", lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    out = gaps.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(F.col(text)))
+    out = gaps.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(value))
     if counts:
         for k, name in zip(KINDS, names, strict=True):
             out = out.withColumn(name, (F.size("__kinds") - F.size(F.array_remove(F.array_compact("__kinds"), k)) - F.size(F.filter("__kinds", F.isnull))).cast("long"))
