@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality_classifier, quality_rules, url_filter
+from . import decontaminate, packing, pii, quality_classifier, quality_rules, url_filter, warc
 from .common import table
 
 #: A document is predicted to be good from this score on.
@@ -79,12 +79,33 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages"), min_bytes=0, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+bits AS (
+  SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS last,
+         array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(sha1(html), i, 1)) - 3, 4)), '') AS b
+  FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * substr(b, 5 * k + 1, 1)::INT + 8 * substr(b, 5 * k + 2, 1)::INT + 4 * substr(b, 5 * k + 3, 1)::INT + 2 * substr(b, 5 * k + 4, 1)::INT + substr(b, 5 * k + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM bits
+"""
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_warc": op8_warc,
     "op10_quality_classifier": op10_quality_classifier,
 }
-SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
+SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
