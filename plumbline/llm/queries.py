@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_diff, packing, pii, quality_classifier, quality_rules, url_filter, warc
+from . import decontaminate, html_diff, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 from .common import table
 
 #: A document is predicted to be good from this score on.
@@ -103,12 +103,17 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
