@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_diff, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filter, warc
+from . import decontaminate, html_diff, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 from .common import table
 
 #: A document is predicted to be good from this score on.
@@ -56,6 +56,28 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.find_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(i) WHERE len(w) > 0
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT node, b FROM reach JOIN links ON a = other
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node) AS c USING (doc_id)
+"""
+
+
 #: Rules of op3: host and its subdomains, start of the path, verdict.
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -109,6 +131,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_filters": op3_url_filters,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
@@ -118,4 +141,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
-SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
+SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_warc": OP8_SQL}
