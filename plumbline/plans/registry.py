@@ -1,19 +1,23 @@
-"""All queries of the engine by name, each with DuckDB SQL that has the same rows."""
+"""All queries of the engine by name, with DuckDB SQL that has the same rows and the survey's operators that they show."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES = {}
-SQL = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+OPERATORS: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(operators: str, sql: str | None = None) -> Callable:
     """Register a query under its function's name."""
 
-    def add(f):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
+        OPERATORS[f.__name__] = operators
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -21,8 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT l_partkey, coalesce(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END), 0) AS stock, count(*) AS movements FROM lineitem GROUP BY l_partkey")
-def stock_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return moves.groupBy("l_partkey").agg(F.coalesce(F.sum(signed), F.lit(0.0)).alias("stock"), F.count(F.lit(1)).alias("movements"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    for name in ("ledger", "defects", "text", "matching", "marks", "verdicts", "store", "geometry", "clusters", "evaluation"):
+        import_module(f"plumbline.plans.{name}")
