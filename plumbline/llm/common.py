@@ -50,24 +50,42 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
-    def remove() -> None:
-        with suppress(Exception):
-            context = spark.sparkContext
-            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    atexit.register(remove)
-    return path
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if the session still runs."""
+    with suppress(Exception):
+        context = spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and it outlives executors."""
+def written(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and it outlives executors. Its path goes to paths."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are removed together, once what is made from them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        return written(df, label, self.paths)
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to limit at most, or that have one row."""
     ends = np.cumsum(sizes)

@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node and root of every node of edges (a, b): equal roots within a component, and only there.
 
     Every round each node takes its least neighbour, if that is less, as its parent, and edges move to the parents; edges
-    inside a parent vanish. A star is done in one round, and any component at least halves. Rounds are written to the
-    shared folder. Loops, repeated and reversed edges change nothing; nodes must not be null.
+    inside a parent vanish. A star is done in one round, and any component at least halves. Rounds are written to
+    scratch. Loops, repeated and reversed edges change nothing; nodes must not be null.
     """
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = scratch.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     parents = []
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")), "parents")
+        parent = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")), "parents")
         parents.append(parent)
         left = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        edges = written(moved, "edges")
+        edges = scratch.written(moved, "edges")
     if not parents:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = parents[0].select("node", F.col("parent").alias("root"))
     for parent in parents[1:]:
         step = parent.select(F.col("node").alias("__at"), F.col("parent").alias("__to"))
-        roots = written(roots.join(step, F.col("root") == F.col("__at"), "left").select("node", F.coalesce("__to", "root").alias("root")), "roots")
+        roots = scratch.written(roots.join(step, F.col("root") == F.col("__at"), "left").select("node", F.coalesce("__to", "root").alias("root")), "roots")
     return roots

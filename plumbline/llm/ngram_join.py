@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_BYTES, map_batches, mix, schema_with, shingle_hashes, span_hashes, text_slices, word_spans, written
+from .common import LOWER, SPACE_BYTES, Scratch, map_batches, mix, schema_with, shingle_hashes, span_hashes, text_slices, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -319,41 +319,45 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     least key reachable by links. Rows with equal sets are linked; repeated rows stay. Rows that share a key but no text
     count as documents of their own. Null keys are never the least. Tokens are 63-bit hashes of shingles.
     """
+    scratch = Scratch(docs.sparkSession)
     common = _common_tokens(docs, text, words)
-    sets = written(_sets(docs, key, text, words, percent, common), "sets")
+    sets = scratch.written(_sets(docs, key, text, words, percent, common), "sets")
     some = sets.where("n > 0")
-    classes = written(
+    classes = scratch.written(
         some.groupBy("node").agg(F.min(key).alias("rep"), F.first(F.struct("n", "prefix", "bits")).alias("s")).select("node", "rep", "s.n", "s.prefix", "s.bits"), "classes"
     )
     posting = classes.select("node", F.explode("prefix").alias("token"))
     signature = [F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
     groups = posting.groupBy("token").agg(*signature).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"))
-    groups = written(groups.select("token", "df"), "groups")
+    groups = scratch.written(groups.select("token", "df"), "groups")
     members = posting.join(groups, "token").join(classes.select("node", "n", "bits"), "node")
-    members = written(members.select("token", "df", "node", "n", "bits"), "members")
-    first = written(_candidates(members.withColumn("label", F.col("node")), percent, True).distinct(), "candidates")
+    members = scratch.written(members.select("token", "df", "node", "n", "bits"), "members")
+    first = scratch.written(_candidates(members.withColumn("label", F.col("node")), percent, True).distinct(), "candidates")
     reps = classes.select("node", "rep")
 
     def verified(edges: DataFrame) -> DataFrame:
         nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-        full = written(_full_sets(docs, nodes.join(reps, "node"), key, text, words), "full")
-        return written(_verify(edges, full, percent), "verified")
+        full = scratch.written(_full_sets(docs, nodes.join(reps, "node"), key, text, words), "full")
+        return scratch.written(_verify(edges, full, percent), "verified")
 
     checked = verified(first.select("a", "b").distinct())
     links = checked.where("linked").select("a", "b")
     failed = checked.where("NOT linked").select("a", "b")
     if not failed.isEmpty():
-        roots = components(links)
+        roots = components(links, scratch)
         again = first.join(failed, ["a", "b"], "left_semi").select("token").distinct()
         open_groups = members.join(again, "token", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        rest = written(_candidates(open_groups, percent, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        rest = scratch.written(_candidates(open_groups, percent, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         links = links.unionAll(verified(rest).where("linked").select("a", "b"))
-    roots = components(links)
+    roots = components(links, scratch)
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = written(placed.join(least, "root").select("node", "component_id"), "labels")
+    labels = scratch.written(placed.join(least, "root").select("node", "component_id"), "labels")
     found = sets.select(key, "node", "n").join(labels, "node", "left")
-    return found.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id")
+    out = written(found.select(key, F.col("n").alias("n_shingles"), component), "components")
+    scratch.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
