@@ -1 +1,147 @@
-"""Queries."""
+"""Cluster queries: events and line items are boxes and points of pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import clusters
+from ..operators import geometry as op
+from .geometry import BOXES_SQL, boxes
+from .registry import query, table
+
+FEW = "user_id < 60"
+REACH = """{name} AS (SELECT {key} AS node, {key} AS other FROM {items} UNION SELECT node, b FROM {name} JOIN edges ON a = other)"""
+
+
+def _clustered(edges: str, items: str, key: str = "event_id") -> str:
+    return f"WITH RECURSIVE {BOXES_SQL}, s AS MATERIALIZED ({items}), edges AS MATERIALIZED ({edges}), " + REACH.format(name="reach", key=key, items="s") + f" SELECT node AS {key}, min(other) AS cluster FROM reach GROUP BY node"
+
+
+ITEMS = "SELECT * FROM bx WHERE user_id < 60 AND event_id % 12 = 0"
+
+
+@query("CC1", _clustered("SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND abs(floor(a.x / 0.04) - floor(b.x / 0.04)) <= 1 AND abs(floor(a.y / 0.04) - floor(b.y / 0.04)) <= 1 AND a.event_id <> b.event_id", ITEMS))
+def cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
+    return clusters.cell_clusters(b, "event_id", "page", 0.04).select("event_id", "cluster")
+
+
+@query(
+    "CC2 CC13",
+    _clustered("SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id <> b.event_id AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 0.013 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.013", ITEMS),
+)
+def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
+    return clusters.rect_clusters(b, "event_id", "page", 0.013).select("event_id", "cluster")
+
+
+CELLS_SQL = """cc AS (SELECT page, unnest(range(floor(x * 20)::INT, least(19, floor((x + w) * 20)::INT) + 1)) AS c, y, h FROM bx WHERE event_id % 2 = 0), rc AS (SELECT page, c, unnest(range(floor(y * 20)::INT, least(19, floor((y + h) * 20)::INT) + 1)) AS r FROM cc),
+  g AS MATERIALIZED (SELECT page, r, c, count(*) AS n, page * 1000000 + r * 20 + c AS k FROM rc GROUP BY page, r, c HAVING count(*) >= 3), st AS MATERIALIZED (SELECT * FROM g WHERE n >= 6)"""
+STRONG_SQL = CELLS_SQL + """, edges AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM st AS a JOIN st AS b ON a.page = b.page AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.k <> b.k),
+  reach AS (SELECT k AS node, k AS other FROM st UNION SELECT node, b FROM reach JOIN edges ON a = other), cl AS (SELECT node AS k, min(other) AS cluster FROM reach GROUP BY node)"""
+
+
+def strong_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.grid_density(boxes(spark, sf_dir).where("event_id % 2 = 0"), ["page"], 20, 20, strong=6, weak=3)
+
+
+@query(
+    "CC3",
+    f"""WITH RECURSIVE {BOXES_SQL}, {STRONG_SQL}, z AS (SELECT page, cluster, count(*) AS size FROM st JOIN cl USING (k) GROUP BY page, cluster), rk AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY size DESC, cluster)::INT AS rank FROM z)
+    SELECT st.page, st.r::INT AS r, st.c::INT AS c, cl.cluster, rk.size, rk.rank FROM st JOIN cl USING (k) JOIN rk ON rk.page = st.page AND rk.cluster = cl.cluster""",
+)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.grid_components(strong_cells(spark, sf_dir).where("strong"), "page", 20).select("page", "r", "c", "cluster", "size", "rank")
+
+
+@query(
+    "CC4",
+    f"""WITH RECURSIVE {BOXES_SQL}, {STRONG_SQL}, w AS (SELECT * FROM g WHERE n < 6), o0 AS (SELECT page, r, c, cluster FROM st JOIN cl USING (k)),
+    f1 AS (SELECT w.page, w.r, w.c, min(cluster) AS cluster FROM w JOIN o0 ON o0.page = w.page AND abs(o0.r - w.r) <= 1 AND abs(o0.c - w.c) <= 1 GROUP BY ALL),
+    w2 AS (SELECT page, r, c FROM w EXCEPT SELECT page, r, c FROM f1), f2 AS (SELECT w2.page, w2.r, w2.c, min(cluster) AS cluster FROM w2 JOIN f1 ON f1.page = w2.page AND abs(f1.r - w2.r) <= 1 AND abs(f1.c - w2.c) <= 1 GROUP BY ALL)
+    SELECT page, r::INT AS r, c::INT AS c, cluster FROM (SELECT * FROM o0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT page, r, c, NULL FROM (SELECT page, r, c FROM w2 EXCEPT SELECT page, r, c FROM f2))""",
+)
+def weak_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = strong_cells(spark, sf_dir)
+    owned = clusters.grid_components(cells.where("strong"), "page", 20).select("page", "r", "c", "n", "cluster")
+    weak = cells.where("NOT strong").select("page", "r", "c", "n", F.lit(None).cast("long").alias("cluster"))
+    return clusters.grow(owned.unionAll(weak), "page", least=3).select("page", "r", "c", "cluster")
+
+
+@query("WN6", "SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT + 1 AS island FROM (SELECT event_id, user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 36000 THEN 1 ELSE 0 END AS new FROM (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t FROM events))")
+def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return clusters.gap_islands(e, ["user_id"], "t", 36000.0, ["event_id"]).select("event_id", "user_id", "island")
+
+
+@query("WN8", "WITH g AS (SELECT user_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY value) - value AS gap FROM events) SELECT user_id, max(gap) AS gap, arg_max(value, (gap, -value)) AS starts FROM g WHERE gap IS NOT NULL GROUP BY user_id")
+def largest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.largest_gap(table(spark, sf_dir, "events"), ["user_id"], "value")
+
+
+SEGMENTS_SQL = "sg AS (SELECT l_suppkey AS page, l_quantity % 10 AS pos, l_extendedprice / 20 AS start, l_extendedprice / 20 + 4 + l_linenumber AS stop FROM lineitem WHERE l_suppkey <= 40)"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 40")
+    return li.select(F.col("l_suppkey").alias("page"), (F.col("l_quantity") % 10).alias("pos"), (F.col("l_extendedprice") / 20).alias("start"), (F.col("l_extendedprice") / 20 + 4 + F.col("l_linenumber")).alias("stop"))
+
+
+@query(
+    "CC5",
+    f"""WITH {SEGMENTS_SQL}, b AS (SELECT *, round(pos * 2)::BIGINT AS bucket FROM sg), r AS (SELECT *, max(stop) OVER (PARTITION BY page, bucket ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+    k AS (SELECT *, sum(CASE WHEN start - reach > 14 THEN 1 ELSE 0 END) OVER (PARTITION BY page, bucket ORDER BY start, stop ROWS UNBOUNDED PRECEDING)::BIGINT AS chain FROM r)
+    SELECT page, bucket, count(*) AS n, round(min(start), 6) AS start, round(max(stop), 6) AS stop FROM k GROUP BY page, bucket, chain HAVING count(*) >= 3 AND max(stop) - min(start) >= 50 AND max(stop - start) <= 0.35 * (max(stop) - min(start))""",
+)
+def dash_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.dash_chains(segments(spark, sf_dir), ["page"])
+    return found.select("page", "bucket", "n", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"))
+
+
+@query("CC8", f"WITH {SEGMENTS_SQL}, r AS (SELECT *, max(stop) OVER (PARTITION BY page ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sg) SELECT page, round(reach, 6) AS gap_start, round(start, 6) AS gap_stop FROM r WHERE start > reach")
+def uncovered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.uncovered_bands(segments(spark, sf_dir), ["page"])
+    return found.select("page", F.round("gap_start", 6).alias("gap_start"), F.round("gap_stop", 6).alias("gap_stop"))
+
+
+@query(
+    "CC10 CC12",
+    f"""WITH {BOXES_SQL}, i AS (SELECT page, event_id, x * 1000 AS x, y * 1000 AS y, w * 1000 AS w, h * 1000 AS h FROM bx WHERE event_id % 3 = 0), b AS (SELECT page, event_id AS box, x * 1000 AS bx, y * 1000 AS by0, w * 4000 AS bw, h * 4000 AS bh FROM bx WHERE event_id % 50 = 1),
+    o AS (SELECT i.page, event_id, min(((x + w / 2 - bx - bw / 2) ** 2 + (y + h / 2 - by0 - bh / 2) ** 2, box)) AS best FROM i JOIN b USING (page) WHERE least(bw, bh) >= 30 AND bw * bh >= 4000 AND x + w / 2 BETWEEN bx AND bx + bw AND y + h / 2 BETWEEN by0 AND by0 + bh GROUP BY i.page, event_id)
+    SELECT page, event_id, best[2] AS box FROM o""",
+)
+def item_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which box owns an item: the nearest of those that hold its centre."""
+    b = boxes(spark, sf_dir).drop("user_id")
+    items = b.where("event_id % 3 = 0").select("page", "event_id", *((F.col(k) * 1000).alias(k) for k in "xywh"))
+    big = b.where("event_id % 50 = 1").select("page", F.col("event_id").alias("box"), *((F.col(k) * (1000 if k in "xy" else 4000)).alias(k) for k in "xywh"))
+    return clusters.owners(items, big, "page", "event_id", "box")
+
+
+@query(
+    "V16 WN6",
+    """WITH e AS (SELECT user_id, event_id, (event_id % 83) / 400.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.05 AS w, 0.01 + (event_id % 3) / 100.0::DOUBLE AS h FROM events WHERE event_id % 8 = 0), m AS (SELECT user_id, median(h) AS m FROM e GROUP BY user_id),
+    l AS (SELECT *, CASE WHEN y + h / 2 - lag(y + h / 2) OVER (PARTITION BY user_id ORDER BY y + h / 2, x) > m * 1.5 THEN 1 ELSE 0 END AS new FROM e JOIN m USING (user_id)),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY y + h / 2, x ROWS UNBOUNDED PRECEDING) AS island FROM l), a AS (SELECT user_id, count(*) AS n, count(DISTINCT island) AS n_rows, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS area FROM k GROUP BY user_id)
+    SELECT user_id, n, n_rows, n >= 8 AND n_rows >= 3 AND area <= 0.25 AS is_menu FROM a""",
+)
+def menu_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").where("event_id % 8 = 0").select("user_id", "event_id", ((e % 83) / 400.0).alias("x"), ((e % 79) / 100.0).alias("y"), F.lit(0.05).alias("w"), (F.lit(0.01) + (e % 3) / 100.0).alias("h"))
+    return clusters.menu_clusters(rows, "user_id").select("user_id", "n", "n_rows", "is_menu")
+
+
+@query("CC9")
+def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.merge_seeds(boxes(spark, sf_dir).where("event_id % 12 = 0").drop("user_id"), "page", "event_id")
+
+
+@query("CC11")
+def xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.xy_cut(boxes(spark, sf_dir).where("event_id % 40 = 0").drop("user_id"), "page", "event_id", 0.02)
+
+
+@query("WN7 WN9")
+def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.reading_rows(boxes(spark, sf_dir).where("event_id % 12 = 0").drop("user_id"), "page", "event_id", least=0.01)

@@ -1 +1,175 @@
-"""Queries."""
+"""Geometry queries: embeddings' first numbers are coordinates, parts and events are boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import geometry as op
+from .registry import query, table
+
+#: Points of the embeddings in 0..1, on three pages.
+POINTS_SQL = "pt AS (SELECT vec_id, label, vec_id % 3 AS page, 0.5 + embedding[1]::DOUBLE / 8 AS x, 0.5 + embedding[2]::DOUBLE / 8 AS y, 0.5 + embedding[3]::DOUBLE / 8 AS u, 0.5 + embedding[4]::DOUBLE / 8 AS v FROM embeddings)"
+BOXES_SQL = "bx AS (SELECT event_id, user_id, user_id % 20 AS page, (event_id % 83) / 100.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.02 + (event_id % 7) / 100.0::DOUBLE AS w, 0.02 + (event_id % 5) / 100.0::DOUBLE AS h FROM events)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: (F.col("embedding")[k].cast("double") / 8 + 0.5)
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("page"), at(0).alias("x"), at(1).alias("y"), at(2).alias("u"), at(3).alias("v"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    size = lambda m: (F.lit(0.02) + (e % m) / 100.0)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 20).alias("page"), ((e % 83) / 100.0).alias("x"), ((e % 79) / 100.0).alias("y"), size(7).alias("w"), size(5).alias("h"))
+
+
+@query(
+    "JN12",
+    f"""WITH {POINTS_SQL}, lb AS (SELECT page, label, avg(u) AS lx, avg(v) AS ly FROM pt GROUP BY page, label),
+    d AS (SELECT vec_id, lb.label, (x - lx) ** 2 + (y - ly) ** 2 AS d FROM pt JOIN lb USING (page)), b AS (SELECT vec_id, min((d, label)) AS best FROM d WHERE d <= 0.1225 GROUP BY vec_id)
+    SELECT vec_id, best[2] AS label, round(best[1], 9) AS squared FROM pt LEFT JOIN b USING (vec_id)""",
+)
+def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    labels = p.groupBy("page", "label").agg(F.avg("u").alias("lx"), F.avg("v").alias("ly"))
+    return op.nearest(p.drop("label"), labels, ["vec_id"]).select("vec_id", "label", F.round("squared", 9).alias("squared"))
+
+
+@query(
+    "JN13 GE4",
+    f"""WITH {BOXES_SQL}, s AS (SELECT * FROM bx WHERE user_id < 40), o AS (SELECT a.page, a.event_id AS a, b.event_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ow, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oh, a.w * a.h + b.w * b.h AS total
+      FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id < b.event_id)
+    SELECT page, a, b, round(ow * oh / (total - ow * oh), 9) AS iou FROM o WHERE ow > 0 AND oh > 0 AND ow * oh / (total - ow * oh) >= 0.5""",
+)
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = op.overlap_pairs(boxes(spark, sf_dir).where("user_id < 40"), "event_id", "page", least_iou=0.5)
+    return pairs.select("page", "a", "b", F.round("iou", 9).alias("iou"))
+
+
+@query("AG13", f"WITH {BOXES_SQL} SELECT user_id, min(x) AS x, min(y) AS y, round(max(x + w) - min(x), 9) AS w, round(max(y + h) - min(y), 9) AS h FROM bx GROUP BY user_id")
+def union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op.union_box(boxes(spark, sf_dir), ["user_id"])
+    return out.select("user_id", "x", "y", F.round("w", 9).alias("w"), F.round("h", 9).alias("h"))
+
+
+@query(
+    "GE1 GE2 GE3 GE10 GE12",
+    f"""WITH {BOXES_SQL} SELECT event_id, round(sqrt((x + w / 2 - 0.5) ** 2 + (y + h / 2 - 0.5) ** 2), 3) AS off, round((x - 0.1) / 0.8, 9) AS vx, round(h / 0.5, 9) AS vh, round(greatest(0, greatest(x, 0.4) - least(x + w, 0.6)), 9) AS gap,
+    round(least(0.35, 0.06 + 0.01 + 0.25 * x), 9) AS tol, least(greatest(least(x * 900 - 100, 600) / 500, 0), 1) AS nx FROM bx""",
+)
+def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets from the page's centre, boxes in a view, gaps to a fixed box, tolerances, clamped corners."""
+    b = g.Box.of()
+    fixed, view = g.Box(*map(F.lit, (0.4, 0.4, 0.2, 0.2))), g.Box(*map(F.lit, (0.1, 0.2, 0.8, 0.5)))
+    inside = g.rebase(b, view)
+    corner = F.least(F.col("x") * 900 - 100, F.lit(600.0))
+    low = g.clamp(corner / 500, 0.0, 1.0)
+    return boxes(spark, sf_dir).select(
+        "event_id", F.round(g.distance(b.centre, (F.lit(0.5), F.lit(0.5))), 3).alias("off"), F.round(inside.x, 9).alias("vx"), F.round(inside.h, 9).alias("vh"), F.round(g.axis_gap(b, fixed)[0], 9).alias("gap"),
+        F.round(g.tolerance(F.lit(False), F.lit(0.01), F.col("x")), 9).alias("tol"), low.alias("nx"),
+    )
+
+
+@query("GE2", f"WITH {BOXES_SQL} SELECT event_id, round_even(x / 2, 6) AS nx, round_even((x + w) / 2 - x / 2, 6) AS nw FROM bx")
+def normalized_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners given the wrong way round come out in order."""
+    nx, _, nw, _ = g.normalize_corners(F.col("x") + F.col("w"), F.col("y"), F.col("x"), F.col("y") + F.col("h"), F.lit(2.0), F.lit(1.0))
+    return boxes(spark, sf_dir).select("event_id", nx.alias("nx"), nw.alias("nw"))
+
+
+@query(
+    "AG22 GE6",
+    f"""WITH {POINTS_SQL}, s AS (SELECT label, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy, count(*)::DOUBLE AS n, sum(x * u) AS xu, sum(y * u) AS yu, sum(u) AS su FROM pt GROUP BY label),
+    d AS (SELECT *, sxx * (syy * n - sy * sy) - sxy * (sxy * n - sy * sx) + sx * (sxy * sy - syy * sx) AS det FROM s)
+    SELECT label, round((xu * (syy * n - sy * sy) - sxy * (yu * n - sy * su) + sx * (yu * sy - syy * su)) / det, 6) AS a, round((sxx * (yu * n - sy * su) - xu * (sxy * n - sy * sx) + sx * (sxy * su - yu * sx)) / det, 6) AS b FROM d WHERE abs(det) >= 1e-12""",
+)
+def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-squares maps from the first to the second coordinates, by label."""
+    m = g.fit_affine(F.col("x"), F.col("y"), F.col("u"), F.col("v"))
+    return points(spark, sf_dir).groupBy("label").agg(F.round(m[0], 6).alias("a"), F.round(m[1], 6).alias("b")).where("a IS NOT NULL")
+
+
+@query("GE5", f"WITH {BOXES_SQL} SELECT event_id, round(0.5 * x - 0.2 * (y + h) + 0.1, 9) + 0.0 AS x, round(0.3 * x + 0.4 * y, 9) + 0.0 AS y, round(0.5 * w + 0.2 * h, 9) + 0.0 AS w, round(0.3 * w + 0.4 * h, 9) + 0.0 AS h FROM bx")
+def affine_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = g.affine_envelope(g.Box.of(), [F.lit(v) for v in (0.5, -0.2, 0.1, 0.3, 0.4, 0.0)])
+    return boxes(spark, sf_dir).select("event_id", *((F.round(c, 9) + 0.0).alias(k) for k, c in zip("xywh", e, strict=True)))
+
+
+@query(
+    "GE7 AG19",
+    f"""WITH {POINTS_SQL}, r AS (SELECT a.label, sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 7 = 0 AND b.vec_id % 7 = 0 AND sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) > 1e-4 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 1e-4),
+    s AS (SELECT label, list_sort(list(r))[len(list(r)) // 2 + 1] AS s FROM r GROUP BY label), m AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM pt WHERE vec_id % 7 = 0 GROUP BY label),
+    f AS (SELECT label, n, CASE WHEN n > 1 THEN least(greatest(coalesce(s, 1), 0.25), 4) ELSE 1.0 END AS scale, x, y, u, v FROM m LEFT JOIN s USING (label)),
+    e AS (SELECT f.label, any_value(n) AS n, any_value(scale) AS scale, any_value(f.u - f.x * scale) AS dx, sqrt(avg((pt.x * scale + f.u - f.x * scale - pt.u) ** 2 + (pt.y * scale + f.v - f.y * scale - pt.v) ** 2)) AS residual FROM pt JOIN f USING (label) WHERE vec_id % 7 = 0 GROUP BY f.label)
+    SELECT label, n, round(scale, 6) AS scale, round(dx, 6) AS dx, round(residual, 6) AS residual, n >= 3 AND residual > 0.10 AS suppressed FROM e""",
+)
+def anchor_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = points(spark, sf_dir).where("vec_id % 7 = 0").select("label", "vec_id", F.col("x").alias("dx0"), F.col("y").alias("dy0"), F.col("u").alias("px0"), F.col("v").alias("py0"))
+    a = op.anchor(pairs, "label", "vec_id")
+    return a.select("label", "n", F.round("scale", 6).alias("scale"), F.round("dx", 6).alias("dx"), F.round("residual", 6).alias("residual"), "suppressed")
+
+
+@query(
+    "GE11",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m FROM embeddings WHERE vec_id < 200), b AS (SELECT vec_id, label, list_transform(v, lambda x: x > m) AS bits FROM e)
+    SELECT a.vec_id AS a, c.vec_id AS b, round(list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: (a.bits[i] = c.bits[i])::INT)) / len(a.bits), 9) AS similarity FROM b AS a JOIN b AS c ON a.label = c.label AND a.vec_id < c.vec_id""",
+)
+def ahash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash similarity of embeddings with one label."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", "label", g.average_hash(F.col("embedding")).alias("bits"))
+    b = e.select(F.col("vec_id").alias("b"), "label", F.col("bits").alias("other"))
+    return e.join(b, "label").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", F.round(g.hash_similarity(F.col("bits"), F.col("other")), 9).alias("similarity"))
+
+
+@query(
+    "GE14 WN11",
+    "WITH k AS (SELECT p_partkey, p_brand, p_size % 3 AS s, count(*) OVER w AS n, row_number() OVER (PARTITION BY p_brand, p_size % 3 ORDER BY p_partkey) - 1 AS i FROM part WINDOW w AS (PARTITION BY p_brand, p_size % 3)) SELECT p_partkey, round(s / 10.0 + 0.3 * i / n, 9) AS y, round(0.3 / n, 9) AS h, p_brand || '#' || lpad((i + 1)::VARCHAR, 3, '0') AS stable_id FROM k WHERE n > 1",
+)
+def spread_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children in one box one below the other, and a stable id by occurrence."""
+    from pyspark.sql import Window
+
+    kids = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("parent"), (F.col("p_size") % 3).alias("s"), F.lit(0.1).alias("x"), ((F.col("p_size") % 3) / 10.0).alias("y"), F.lit(0.2).alias("w"), F.lit(0.3).alias("h"))
+    k = F.row_number().over(Window.partitionBy("parent", "s").orderBy("p_partkey"))
+    out = op.spread_children(kids.withColumn("k", k), "parent", "p_partkey")
+    return out.where("h < 0.3").select("p_partkey", F.round("y", 9).alias("y"), F.round("h", 9).alias("h"), F.concat("parent", F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("stable_id"))
+
+
+@query(
+    "WN12",
+    f"""WITH {POINTS_SQL}, m AS (SELECT label, median(u - x) AS mx, median(v - y) AS my FROM pt GROUP BY label) SELECT label, count(*) AS n, round(avg(u - x), 6) AS dx, round(avg(v - y), 6) AS dy FROM pt JOIN m USING (label) WHERE sqrt((u - x - mx) ** 2 + (v - y - my) ** 2) <= 0.25 GROUP BY label HAVING count(*) >= 2""",
+)
+def offset_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = points(spark, sf_dir).select("label", (F.col("u") - F.col("x")).alias("dx"), (F.col("v") - F.col("y")).alias("dy"))
+    return op.consensus(vectors, "label").select("label", "n", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query(
+    "AG23 CC3",
+    f"""WITH {BOXES_SQL}, c AS (SELECT page, unnest(range(floor(x * 20)::INT, least(19, floor((x + w) * 20)::INT) + 1)) AS c, y, h FROM bx), rc AS (SELECT page, c, unnest(range(floor(y * 20)::INT, least(19, floor((y + h) * 20)::INT) + 1)) AS r FROM c)
+    SELECT page, r::INT AS r, c::INT AS c, count(*) AS n, count(*) >= 12 AS strong FROM rc GROUP BY page, r, c HAVING count(*) >= 4""",
+)
+def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.grid_density(boxes(spark, sf_dir), ["page"], 20, 20)
+
+
+@query("GE9", f"WITH {BOXES_SQL} SELECT event_id, x, CASE WHEN hit THEN 0.5 - x ELSE w END AS w FROM (SELECT *, 0.5 >= x AND least(x + w, 0.9) - 0.5 >= 0.15 * w AND 0.5 - x > 0 AND least(y + h, 1.0) - greatest(y, 0.0) >= 0.5 * h AS hit FROM bx)")
+def code_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text boxes cut at a code that lies to their right."""
+    codes = F.array(F.struct(F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.4).alias("w"), F.lit(1.0).alias("h")))
+    cut = g.trim_code(g.Box.of(), codes)
+    out = boxes(spark, sf_dir).select("event_id", F.col("x").alias("was"), cut.alias("cut"), "w")
+    inside = F.col("was") >= 0.5
+    return out.select("event_id", F.col("was").alias("x"), F.when(inside, F.col("w")).otherwise(F.col("cut.w")).alias("w"))
+
+
+@query("JN17")
+def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one assignment of few points: no SQL, so tests hold it against all permutations."""
+    p = points(spark, sf_dir).where("vec_id % 9 = 0").withColumn("g", F.col("label").cast("long"))
+    a = p.where("vec_id % 2 = 0").select("g", F.col("vec_id").alias("i"), "x", "y")
+    b = p.where("vec_id % 2 = 1").select("g", F.col("vec_id").alias("j"), F.col("u"), F.col("v"))
+    pairs = a.join(b, "g").withColumn("d", g.distance((F.col("x"), F.col("y")), (F.col("u"), F.col("v"))))
+    return op.assign(pairs, "g")
