@@ -1 +1,38 @@
-"""Queries."""
+"""Mark queries over a literal drawing; the results follow from the rules by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import marks
+from .registry import query
+from .text import CLAUSE
+
+TEXTS = (
+    (1, "LOW VOLTAGE禁止强电", 0.4, 0.4), (2, "地暖阀", 0.3, 0.4), (3, "服务热线：4008601111", 0.4, 0.5), (4, "PC-P1HEQ2", 0.5, 0.5), (5, "12±0.5", 0.5, 0.5), (6, "更改MAC地址打标A/22", 0.5, 0.5),
+    (7, "YORK", 0.5, 0.6), (8, "点检", 0.5, 0.6), (9, "QHSGK", 0.95, 0.6), (10, "内容以实际生产为准", 0.5, 0.7), (11, "市 场 部", 0.5, 0.5), (12, "ABX 开", 0.5, 0.5),
+)
+
+
+def drawing(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    values = ", ".join(f"(1L, {b}L, '{s}', {x}D, {y}D)" for b, s, x, y in TEXTS)
+    return spark.sql(f"SELECT 1L AS drawing, '{CLAUSE}' AS text"), spark.sql(f"SELECT * FROM VALUES {values} AS t(drawing, block, text, nx, ny)")
+
+
+@query(
+    "V1 V3 JN11",
+    """SELECT * FROM (VALUES (1, 'R1', '禁止强电', NULL), (2, 'R1', '地暖阀', NULL), (3, 'R1', '服务热线', NULL), (-1, 'R1-noloc', 'MAC地址', NULL), (-1, 'R1-noloc', '按键', NULL), (4, 'R2-model', 'PC-P1HEQ2', NULL),
+    (7, 'R4', 'YORK', NULL), (8, 'R4', '点检', 'display'), (12, 'R4', 'ABX 开', 'short')) AS t(block, rule, name, exclude_reason) WHERE name <> '点检'""",
+)
+def mark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = marks.exclude_polluted(marks.candidates(*drawing(spark)))
+    return found.select(F.col("block").cast("int").alias("block"), "rule", "name", "exclude_reason")
+
+
+@query("V2 V18 V19", "SELECT * FROM (VALUES (1, 'R1', '禁止强电', 'Text', '内容以实际生产为准'), (2, 'R1', '地暖阀', 'Text', '内容以实际生产为准'), (3, 'R1', '服务热线', 'Text', '内容以实际生产为准'), (-1, 'R1-noloc', 'MAC地址+按键', 'Group', '内容以实际生产为准'), (4, 'R2-model', 'PC-P1HEQ2', 'Text', '内容以实际生产为准')) AS t(block, rule, text, type, condition)")
+def mark_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses, texts = drawing(spark)
+    kept = marks.dedupe(marks.candidates(clauses, texts)).where("rule <> 'R4'")
+    out = marks.with_condition(marks.emit_grouped(kept), texts)
+    return out.select(F.col("block").cast("int").alias("block"), "rule", "text", "type", "condition")
