@@ -162,7 +162,7 @@ def _load(shared: Broadcast) -> Block:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: list[str] | None = None, prefix: str = ""
 ) -> DataFrame:
     """One row per row of docs: key (or the columns keep), n_words, n_hit, n_items, items, and hit_starts and hit_ends,
     the numbers of the first word of each hit span and of the word after it.
@@ -170,13 +170,15 @@ def find_contamination(
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. An item's text
     of fewer than window words is one window; one without words, or null, has none. Null and empty documents have no
     words and no hits. Repeated rows stay repeated. Items with the same id count once, by their id as text; items
-    without an id are left out. An empty benchmark hits nothing. Other columns of docs are ignored unless in keep.
+    without an id are left out. An empty benchmark hits nothing. Other columns of docs are ignored unless in keep; where these clash with
+    the new names, prefix goes before the new ones.
     """
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(with_prefixes(b, token_counts(docs, b.tokens()[0], text))) for b in blocks(benchmark, window, item, text)]
     keep = [key] if keep is None else keep
     n = len(keep)
-    schema = schema_with(docs.select(*keep), "n_words long, n_hit long, n_items long, items array<string>, hit_starts array<long>, hit_ends array<long>")
+    kinds = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "hit_starts": "array<long>", "hit_ends": "array<long>"}
+    schema = schema_with(docs.select(*keep), ", ".join(f"`{prefix}{c}` {kind}" for c, kind in kinds.items()))
     long_list = pa.list_(pa.int64())
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -220,4 +222,4 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """docs without the documents in which a benchmark window occurs; same columns."""
-    return find_contamination(docs, benchmark, keep=docs.columns, **options).where("n_hit = 0").select(*docs.columns)
+    return find_contamination(docs, benchmark, keep=docs.columns, prefix="__hits_", **options).where("__hits_n_hit = 0").select(*docs.columns)

@@ -108,10 +108,10 @@ def bands(text: bytes, rules: Rules, codec: zstandard.ZstdCompressor) -> tuple[f
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FOUND = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, whole_ratio double, chunks_outside double, kept boolean"
+FOUND = {c: "long" for c in COUNTS} | {"base_failed": "boolean", "whole_ratio": "double", "chunks_outside": "double", "kept": "boolean"}
 
 
-def apply_rules(docs: DataFrame, rules: Rules | None = None, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: Rules | None = None, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per row of docs: key (or the columns keep) and the columns of FOUND.
 
     Words are runs of characters other than space and U+0009 to U+000D. word_chars: their code points. n_symbols: the
@@ -119,12 +119,12 @@ def apply_rules(docs: DataFrame, rules: Rules | None = None, *, key: str = "doc_
     n_repeat_words: words inside a window of three that occurs twice or more in the text. base_failed: fewer than
     min_words words, or more than max_repeat_percent of the words in n_repeat_words. kept: not base_failed, and within
     the bands. A null or empty text has no words, and so fails; repeated rows stay; other columns are ignored unless in
-    keep. Windows and lines are compared by 64-bit hashes.
+    keep (prefix goes before the new names, should these clash). Windows and lines are compared by 64-bit hashes.
     """
     rules = rules or Rules()
     keep = [key] if keep is None else keep
     n = len(keep)
-    schema = schema_with(docs.select(*keep), FOUND)
+    schema = schema_with(docs.select(*keep), ", ".join(f"`{prefix}{c}` {kind}" for c, kind in FOUND.items()))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
