@@ -11,12 +11,12 @@ from .registry import query, table
 
 @query(
     "AG20 JS2",
-    """WITH r AS (SELECT p_brand, p_partkey::VARCHAR || '|' || p_name || '|' || p_type || '|' || CASE WHEN p_size = 1 THEN '-' ELSE printf('%.4f', p_size / 64.0) || ',' || printf('%.4f', p_size / 128.0) || ',0.5000,0.2500' END AS s FROM part)
+    """WITH r AS (SELECT p_brand, p_partkey::VARCHAR || '|' || p_name || '|' || p_type || '|' || CASE WHEN p_size = 1 THEN '-' ELSE printf('%.4f', p_size / 61.0) || ',' || printf('%.4f', p_size / 131.0) || ',0.5000,0.2500' END AS s FROM part)
     SELECT p_brand, upper(sha256(string_agg(s, chr(10) ORDER BY s))) AS fingerprint FROM r GROUP BY p_brand""",
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("p_size") != 1, F.col("p_size"))
-    box = store.box_text(size / 64.0, size / 128.0, F.lit(0.5), F.lit(0.25))
+    box = store.box_text(size / 61.0, size / 131.0, F.lit(0.5), F.lit(0.25))
     return store.fingerprint(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey"), F.col("p_name"), F.col("p_type"), box])
 
 

@@ -38,9 +38,12 @@ def write_truth_sheet(df: DataFrame, path: str) -> None:
 
 
 def sweep(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """path, bytes and error of every matching file below path: empty files are errors, and none stops the others."""
+    """path, bytes and error of every matching file below path; unreadable content is an error, not a stop.
+
+    Spark's file sources leave empty files out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.when(F.col("length") == 0, "empty").alias("error"))
+    return files.select("path", F.col("length").alias("bytes"), F.when(F.length("content") < F.col("length"), "cut off").alias("error"))
 
 
 def publish(df: DataFrame, root: str, name: str) -> str:
