@@ -238,3 +238,40 @@ def menu_clusters(elements: DataFrame, block: str) -> DataFrame:
     area = (F.max(F.col("x") + F.col("w")) - F.min("x")) * (F.max(F.col("y") + F.col("h")) - F.min("y"))
     found = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("island").alias("n_rows"), area.alias("area"))
     return found.withColumn("is_menu", (F.col("n") >= 8) & (F.col("n_rows") >= 3) & (F.col("area") <= 0.25))
+
+
+def bridge_merge(parts: DataFrame, lines: DataFrame, page: str, key: str, most_gap: float, least_reach: float, thickness: float) -> DataFrame:
+    """parts (page, key, x, y, w, h, n) with cluster: disjoint neighbours that a thin line joins are one.
+
+    Two parts are joined if they share 0.7 of the lesser extent in a row or a column, lie at most most_gap apart, have
+    sizes n within a ratio of 0.30, and one line at most thickness thick reaches into both, least_reach in total. Lines
+    meet the parts they touch first, so pairs come from shared lines, not from all parts of a page.
+    """
+    thin = lines.where((F.col("w") <= thickness) | (F.col("h") <= thickness)).select(page, *(F.col(k).alias(f"l{k}") for k in "xywh"), F.monotonically_increasing_id().alias("__line"))
+    touch = (F.col("lx") <= F.col("x") + F.col("w")) & (F.col("x") <= F.col("lx") + F.col("lw")) & (F.col("ly") <= F.col("y") + F.col("h")) & (F.col("y") <= F.col("ly") + F.col("lh"))
+    met = parts.join(thin, page).where(touch)
+    a, b = (met.select(page, "__line", F.col(key).alias(s), *(F.col(k).alias(s + k) for k in ("x", "y", "w", "h", "n")), *([F.col(k) for k in ("lx", "ly", "lw", "lh")] if s == "a" else [])) for s in ("a", "b"))
+    p = a.join(b, [page, "__line"]).where("a < b")
+
+    def shared(k: str, size: str) -> Column:
+        return F.least(F.col(f"a{k}") + F.col(f"a{size}"), F.col(f"b{k}") + F.col(f"b{size}")) - F.greatest(F.col(f"a{k}"), F.col(f"b{k}"))
+
+    def reach(s: str, k: str, size: str) -> Column:
+        return F.least(F.col(f"l{k}") + F.col(f"l{size}"), F.col(f"{s}{k}") + F.col(f"{s}{size}")) - F.greatest(F.col(f"l{k}"), F.col(f"{s}{k}"))
+
+    sx, sy = shared("x", "w"), shared("y", "h")
+    row = sy >= 0.7 * F.least("ah", "bh")
+    column = sx >= 0.7 * F.least("aw", "bw")
+    into = F.when(row, reach("a", "x", "w") + reach("b", "x", "w")).otherwise(reach("a", "y", "h") + reach("b", "y", "h"))
+    alike = F.least("an", "bn") >= 0.30 * F.greatest("an", "bn")
+    joined = p.where(~((sx > 0) & (sy > 0)) & (row | column) & (F.greatest(-sx, -sy) <= most_gap) & alike & (into >= least_reach))
+    return label(parts, joined.select("a", "b"), key)
+
+
+def exclusion_zones(notes: DataFrame, page: str, key: str, gap: float = 30, least: int = 2) -> DataFrame:
+    """Boxes around groups of note sentences at most gap apart, of least sentences or more."""
+    grouped = rect_clusters(notes, key, page, gap)
+    zone = grouped.groupBy(page, "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b")
+    )
+    return zone.where(F.col("n") >= least).select(page, "cluster", "n", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"))

@@ -145,3 +145,31 @@ def xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WN7 WN9")
 def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.reading_rows(boxes(spark, sf_dir).where("event_id % 12 = 0").drop("user_id"), "page", "event_id", least=0.01)
+
+
+@query(
+    "CC6 AG13",
+    f"""WITH RECURSIVE {BOXES_SQL}, s AS MATERIALIZED ({ITEMS}), edges AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id <> b.event_id AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 0.007 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.007),
+    {REACH.format(name="reach", key="event_id", items="s")}, c AS (SELECT node AS event_id, min(other) AS cluster FROM reach GROUP BY node)
+    SELECT s.page, cluster, count(*) AS n, min(x) AS x, round(max(x + w) - min(x), 9) AS w FROM s JOIN c USING (event_id) GROUP BY s.page, cluster HAVING count(*) >= 2""",
+)
+def exclusion_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
+    return clusters.exclusion_zones(b, "page", "event_id", 0.007).select("page", "cluster", "n", "x", F.round("w", 9).alias("w"))
+
+
+BRIDGE_SQL = """pt AS MATERIALIZED (SELECT page, event_id, x * 0.8 AS x, y * 0.8 AS y, w, h, 1 + event_id % 4 AS n FROM bx WHERE event_id % 9 = 0), ln AS (SELECT page, event_id AS line, x * 0.7 AS lx, y * 0.8 + 0.01 AS ly, w * 5 AS lw, 0.001::DOUBLE AS lh FROM bx WHERE event_id % 6 = 1),
+  mt AS (SELECT pt.*, line, lx, ly, lw, lh FROM pt JOIN ln USING (page) WHERE lx <= x + w AND x <= lx + lw AND ly <= y + h AND y <= ly + lh),
+  pr AS (SELECT a.event_id AS a, b.event_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS sx, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS sy, least(a.h, b.h) AS mh, least(a.w, b.w) AS mw, a.n AS na, b.n AS nb,
+    least(a.lx + a.lw, a.x + a.w) - greatest(a.lx, a.x) + least(a.lx + a.lw, b.x + b.w) - greatest(a.lx, b.x) AS ix, least(a.ly + a.lh, a.y + a.h) - greatest(a.ly, a.y) + least(a.ly + a.lh, b.y + b.h) - greatest(a.ly, b.y) AS iy
+    FROM mt AS a JOIN mt AS b ON a.page = b.page AND a.line = b.line AND a.event_id < b.event_id),
+  ok AS (SELECT a, b FROM pr WHERE NOT (sx > 0 AND sy > 0) AND (sy >= 0.7 * mh OR sx >= 0.7 * mw) AND greatest(-sx, -sy) <= 0.05 AND least(na, nb) >= 0.30 * greatest(na, nb) AND CASE WHEN sy >= 0.7 * mh THEN ix ELSE iy END >= 0.03),
+  edges AS MATERIALIZED (SELECT a, b FROM ok UNION SELECT b, a FROM ok)"""
+
+
+@query("CC7", f"WITH RECURSIVE {BOXES_SQL}, {BRIDGE_SQL}, {REACH.format(name='reach', key='event_id', items='pt')} SELECT node AS event_id, min(other) AS cluster FROM reach GROUP BY node")
+def bridge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).drop("user_id")
+    parts = b.where("event_id % 9 = 0").select("page", "event_id", (F.col("x") * 0.8).alias("x"), (F.col("y") * 0.8).alias("y"), "w", "h", (1 + F.col("event_id") % 4).alias("n"))
+    lines = b.where("event_id % 6 = 1").select("page", (F.col("x") * 0.7).alias("x"), (F.col("y") * 0.8 + 0.01).alias("y"), (F.col("w") * 5).alias("w"), F.lit(0.001).alias("h"))
+    return clusters.bridge_merge(parts, lines, "page", "event_id", 0.05, 0.03, 0.003).select("event_id", "cluster")
