@@ -50,6 +50,19 @@ def test_page_steps(spark):
     assert lines[1] == lines[2] == lines[3]
 
 
+def test_missing_elements_are_placed_by_the_found_ones(spark):
+    from plumbline.operators.matching import place_missing
+
+    def row(block, k, u, v, found):
+        return (block, k, u, v, 0.1, 0.1, 0.5 * u + 0.2 if found else None, 0.4 * v + 0.1 if found else None, not found)
+
+    rows = [row(1, k, u, v, True) for k, (u, v) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)])] + [row(1, 9, 0.5, 0.5, False)]
+    rows += [row(2, 1, 0.0, 0.0, True), row(2, 2, 1.0, 1.0, True), row(2, 3, 0.5, 0.5, False), row(3, 1, 0.3, 0.3, True), row(3, 2, 0.4, 0.4, False)]
+    kinds = "block long, element long, u double, v double, bw double, bh double, px double, py double, missing boolean"
+    got = {(r.block, r.element): (round(r.x + r.w / 2, 6), round(r.y + r.h / 2, 6), r.level) for r in place_missing(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {(1, 9): (0.45, 0.3, "L2"), (2, 3): (0.45, 0.3, "L1")}
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.SQL)):
         assert registry.QUERIES[name](spark, SF).count() >= 0
