@@ -62,13 +62,23 @@ def remove(spark: SparkSession, path: str) -> None:
         hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Lets Spark remove shuffle files as soon as the execution that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and it outlives executors. Its path goes to paths."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if paths is not None:
         paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:

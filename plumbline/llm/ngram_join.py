@@ -8,16 +8,18 @@ these are counted over all documents, and only the order depends on them, never
 Inside a group the sets are leaves of a signature tree: a node holds the OR of its leaves' token bitmaps, their range of
 sizes, and how many tokens its bitmaps hide at most. A dual traversal drops a pair of nodes when its sizes are too far
 apart or when the most that the bitmaps allow in common is too little, and also when both are one component already. What is
-left are candidate pairs. A group reports only a spanning forest of them; forest edges are verified on the full
-sets. Groups in which an edge fails are traversed again, now reporting every candidate pair between components.
-Thus no link between different components is lost, and no group reports all of its pairs.
+left are candidate pairs, also bounded by where the token stands in both sets. A group reports only a spanning forest of
+them, never all its pairs. The forests' components are families: any two linked sets are in one. A family's sets then
+meet once, whole, in a second signature tree with larger bitmaps, whose leaves are compared token by token; it reports a
+spanning forest of true links. So no link between different components is lost.
 
-Groups of more than GROUP_SETS sets are dealt out as pairs of chunks, so that a task holds two chunks at most.
+Groups of more than GROUP_SETS sets, and families of more than FAMILY_BYTES, are dealt out as pairs of chunks, so that a
+task holds two chunks at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ COMMON_SETS = 64
 COMMON_TOKENS = 400_000
 BITS = 2048
 GROUP_SETS = 8192
+#: Sets of more tokens also carry a bitmap of their prefix, as the bitmap of all tokens fills up.
+LONG_SET = 1000
+#: Size of the filter that finds the documents whose full sets are needed.
+FILTER_BITS = 1 << 25
+FAMILY_BYTES = 16 << 20
 LEAF_SETS = 16
 FANOUT = 8
 #: Groups of up to this many sets are compared by lag, many at once, as single leaves.
@@ -43,7 +50,7 @@ SMALL_GROUP = 24
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, token) of all distinct shingles, sorted; a token is a 63-bit hash."""
+    """(doc, token) of all distinct shingles, sorted; a token is a 62-bit hash."""
     data = LOWER[data]
     start, end, first = word_spans(data, offsets, SPACE_BYTES)
     hashes = span_hashes(data, start, end)
@@ -60,7 +67,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
                 total = mix(total + hashes[first[short] + k])
             docs.append(short)
             found.append(total)
-    doc, token = np.concatenate(docs), np.concatenate(found) >> np.uint64(1)
+    doc, token = np.concatenate(docs), np.concatenate(found) >> np.uint64(2)
     order = np.lexsort((token, doc))
     doc, token = doc[order], token[order]
     new = np.ones(len(doc), dtype=bool)
@@ -70,7 +77,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
 
 def _common_tokens(docs: DataFrame, text: str, words: int) -> np.ndarray:
     """Counted tokens that more than COMMON_SETS documents hold, at most COMMON_TOKENS of them."""
-    below = np.uint64(int(COUNTED_SHARE * (1 << 63)))
+    below = np.uint64(int(COUNTED_SHARE * (1 << 62)))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_slices(batch, 0):
@@ -84,11 +91,15 @@ def _common_tokens(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """key, node (digest of the set, 0 for an empty one), n, prefix and bits of every document."""
+    """key, node (digest of the set, 0 for an empty one), n, prefix, bits, more and edge of every document.
+
+    The prefix has tokens as their ranks in the common order: the hash itself, or with bit 62 set for common tokens.
+    more is a bitmap of a long set's prefix, edge the last rank of the prefix.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     rows = docs.select(key, F.col(text).alias("__text"))
-    schema = schema_with(rows.select(key), "node long, n long, prefix array<long>, bits binary")
-    below = np.uint64(int(COUNTED_SHARE * (1 << 63)))
+    schema = schema_with(rows.select(key), "node long, n long, prefix array<long>, bits binary, more binary, edge long")
+    below = np.uint64(int(COUNTED_SHARE * (1 << 62)))
     last = np.uint64(1 << 62)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -97,13 +108,11 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, common
             doc, token = token_sets(data, offsets, words)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             n = np.diff(first)
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(token), dtype=np.uint64)])
-            node = mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
-            node[n == 0] = 0
+            node = set_digests(token, first)
             bits = np.zeros((part.num_rows, BITS // 64), dtype=np.uint64)
             place = mix(token) & np.uint64(BITS - 1)
             np.bitwise_or.at(bits, (doc, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-            rank = token >> np.uint64(1)
+            rank = token.copy()
             if len(known):
                 low = np.flatnonzero(token < below)
                 at = np.searchsorted(known, token[low])
@@ -112,20 +121,65 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, common
             order = np.lexsort((rank, doc))
             size = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             take = np.arange(len(doc)) - first[doc] < size[doc]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(token[order][take].view(np.int64)))
+            ranks = rank[order][take]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ranks.view(np.int64)))
             raw = pa.array([bits[k].tobytes() for k in range(part.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, raw], names=schema.names)
+            more = pa.array([_bitmap(ranks[ends[k] : ends[k + 1]]) if n[k] > LONG_SET else None for k in range(part.num_rows)], pa.binary())
+            edge = pa.array([int(ranks[ends[k + 1] - 1]) if size[k] else 0 for k in range(part.num_rows)], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, raw, more, edge], names=schema.names)
 
     return map_batches(rows, step, schema)
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of eight bits or more for each token; its size is a power of two."""
+    size = max(BITS, 1 << (8 * len(tokens) - 1).bit_length())
+    place = mix(tokens) & np.uint64(size - 1)
+    bits = np.zeros(size // 64, dtype=np.uint64)
+    np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return bits.tobytes()
+
+
+class LongSets:
+    """What the bitmaps of long sets' prefixes rule out.
+
+    Up to the lesser edge the set with that edge is known whole: it has its prefix there, of which no more than the
+    common bits and the tokens that its own bits hide can be in the other set; the rest of it may be.
+    """
+
+    def __init__(self, n: np.ndarray, more: list[bytes | None], edge: np.ndarray, percent: int) -> None:
+        self.n, self.more, self.edge, self.percent = n, more, edge, percent
+
+    def possible(self, i: int, j: int) -> bool:
+        if self.more[i] is None or self.more[j] is None:
+            return True
+        if self.edge[i] > self.edge[j]:
+            i, j = j, i
+        a, b = (np.frombuffer(self.more[k], dtype=np.uint64) for k in (i, j))
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+        n = int(self.n[i])
+        prefix = n - (self.percent * n + 99) // 100 + 1
+        hidden = prefix - int(np.bitwise_count(a).sum())
+        most = int(np.bitwise_count(a & b).sum()) + hidden + n - prefix
+        return (100 + self.percent) * most >= self.percent * (n + int(self.n[j]))
+
+
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of tokens are similar enough."""
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 class Group:
-    """The sets of a group, smallest first, and what is known about their components."""
+    """The sets of a group, smallest first, and their components so far; with tokens, pairs are verified at once."""
 
-    def __init__(self, node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int, forest: bool) -> None:
-        self.node, self.n, self.bits, self.percent, self.forest = node, n, bits, percent, forest
+    def __init__(self, node: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, percent: int, tokens: list[np.ndarray] | None = None, long: LongSets | None = None) -> None:
+        self.long = long
+        self.node, self.n, self.bits, self.left, self.percent, self.tokens = node, n, bits, left, percent, tokens
         self.slack = n - np.bitwise_count(bits).sum(axis=1)
-        self.label = np.unique(label, return_inverse=True)[1]
+        self.label = np.arange(len(n))
         self.found: list[tuple[int, int]] = []
 
     def _needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,17 +191,16 @@ class Group:
             return
         both = np.bitwise_count(self.bits[a, None, :] & self.bits[None, b, :]).sum(axis=2)
         x, y = self.n[a, None], self.n[None, b]
-        most = both + np.minimum(self.slack[a, None], self.slack[None, b])
+        most = np.minimum(both + np.minimum(self.slack[a, None], self.slack[None, b]), np.minimum(self.left[a, None], self.left[None, b]))
         good = (most >= self._needed(x, y)) & (100 * np.minimum(x, y) >= self.percent * np.maximum(x, y))
         for i, j in zip(*np.nonzero(good), strict=True):
             i, j = int(i) + a.start, int(j) + b.start
-            if i < j and self.label[i] != self.label[j]:
+            if i < j and self.label[i] != self.label[j] and (self.long is None or self.long.possible(i, j)) and (self.tokens is None or linked(self.tokens[i], self.tokens[j], self.percent)):
                 self.found.append((i, j))
-                if self.forest:
-                    self.label[self.label == self.label[j]] = self.label[i]
+                self.label[self.label == self.label[j]] = self.label[i]
 
     def traverse(self) -> list[tuple[int, int]]:
-        """Dual traversal of the signature tree: candidate pairs of positions."""
+        """Dual traversal of the signature tree: a spanning forest of the candidate (or verified) pairs of positions."""
         starts = np.arange(0, len(self.n), LEAF_SETS)
         tree = [self._level(starts, self.bits, self.n, self.n, self.slack)]
         while len(tree[-1][1]) > 1:
@@ -180,8 +233,8 @@ class Group:
         )
 
 
-def _small_groups(group: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Candidate pairs inside many small groups, which stand one after another."""
+def _small_groups(group: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, percent: int, long: LongSets) -> list[tuple[int, int]]:
+    """Spanning forests of the candidate pairs inside many small groups, which stand one after another."""
     slack = n - np.bitwise_count(bits).sum(axis=1)
     pairs = []
     for lag in range(1, SMALL_GROUP):
@@ -189,14 +242,12 @@ def _small_groups(group: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.n
         if not len(i):
             break
         j = i + lag
-        fits = (100 * n[i] >= percent * n[j]) & (label[i] != label[j])
+        fits = 100 * n[i] >= percent * n[j]
         i, j = i[fits], j[fits]
-        most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(slack[i], slack[j])
+        most = np.minimum(np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(slack[i], slack[j]), np.minimum(left[i], left[j]))
         good = most >= -(-percent * (n[i] + n[j]) // (100 + percent))
         pairs.append(np.column_stack([i[good], j[good]]))
     found = np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
-    if not forest:
-        return [tuple(p) for p in found.tolist()]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -208,56 +259,59 @@ def _small_groups(group: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.n
     kept = []
     for i, j in found[np.lexsort((found[:, 1], found[:, 0]))].tolist():
         a, b = find(i), find(j)
-        if a != b:
+        if a != b and long.possible(i, j):
             root[b] = a
             kept.append((i, j))
     return kept
 
 
-EDGES = "token long, a long, b long"
+EDGES = "a long, b long"
 
 
-def _candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs (token, a < b) of the groups in members: token, df, node, n, bits, label."""
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Forests of candidate pairs (a < b) of the groups in members: token, df, node, n, bits, pos, more, edge."""
     chunks = F.ceil(F.col("df") / GROUP_SETS).cast("int")
     dealt = (
         members.withColumn("m", chunks)
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("token", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), "node", "n", "bits", "label")
+        .select("token", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), "node", "n", "bits", "pos", "more", "edge")
     )
     ordered = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "node")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = _keys(batch)
-            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            joins = bool(pending) and (_keys(pending[-1].slice(pending[-1].num_rows - 1))[0] == key[0]).all()
-            if pending and not joins:
-                yield from _solve(pending, percent, forest)
-                pending = []
-            if len(change):
-                cut = int(change[-1])
-                yield from _solve([*pending, batch.slice(0, cut)], percent, forest)
-                pending = [batch.slice(cut)]
-            else:
-                pending.append(batch)
-        if pending:
-            yield from _solve(pending, percent, forest)
-
-    return ordered.mapInArrow(groups, EDGES)
+    return ordered.mapInArrow(lambda batches: _by_group(batches, lambda b: _solve(b, percent)), EDGES)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], solve: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Run solve on whole groups of rows that agree in the first three columns; rows come sorted by them."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = _keys(batch)
+        change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if pending and (_keys(pending[-1].slice(pending[-1].num_rows - 1))[0] != key[0]).any():
+            yield from solve(pending)
+            pending = []
+        if len(change):
+            cut = int(change[-1])
+            yield from solve([*pending, batch.slice(0, cut)])
+            pending = [batch.slice(cut)]
+        else:
+            pending.append(batch)
+    if pending:
+        yield from solve(pending)
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
 
 
-def _solve(batches: list[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+def _solve(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     key = np.concatenate([_keys(b) for b in batches])
-    node, n, label = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in (3, 4, 6))
+    node, n, pos, edge = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in (3, 4, 6, 8))
+    more = [m for b in batches for m in b.column(7).to_pylist()]
+    left = n - pos
     bits = np.concatenate([np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for b in batches])
     start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
     size = np.diff(start)
@@ -266,48 +320,88 @@ def _solve(batches: list[pa.RecordBatch], percent: int, forest: bool) -> Iterato
     if len(small):
         at = np.concatenate([np.arange(start[k], start[k + 1]) for k in small])
         which = np.repeat(small, size[small])
-        pairs += [(at[i], at[j]) for i, j in _small_groups(which, node[at], n[at], bits[at], label[at], percent, forest)]
+        pairs += [(at[i], at[j]) for i, j in _small_groups(which, n[at], bits[at], left[at], percent, LongSets(n[at], [more[k] for k in at], edge[at], percent))]
     for k in np.flatnonzero(size > SMALL_GROUP):
         s = slice(start[k], start[k + 1])
-        pairs += [(i + s.start, j + s.start) for i, j in Group(node[s], n[s], bits[s], label[s], percent, forest).traverse()]
+        pairs += [(i + s.start, j + s.start) for i, j in Group(node[s], n[s], bits[s], left[s], percent, long=LongSets(n[s], more[s], edge[s], percent)).traverse()]
+    yield from _edges(node, pairs)
+
+
+def _edges(node: np.ndarray, pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     if pairs:
         i, j = np.array(pairs, dtype=np.int64).T
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        yield pa.RecordBatch.from_arrays([pa.array(key[i, 0]), pa.array(a), pa.array(b)], names=["token", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
 
-def _verify(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """a, b and linked of every edge, by the full sets."""
-    left = full.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = full.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Forests of the links (a < b) of the families in members: family, node, tokens."""
+    sizes = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("tokens")) / FAMILY_BYTES).cast("int").alias("m"))
+    dealt = (
+        members.join(sizes, "family")
+        .withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        .select("family", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), "node", "tokens")
+    )
+    ordered = dealt.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", F.octet_length("tokens"), "node")
+    return ordered.mapInArrow(lambda batches: _by_group(batches, lambda b: _solve_families(b, percent)), EDGES)
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        linked = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            u, v = (np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in (x, y))
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            linked.append(100 * both >= percent * (len(u) + len(v) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return map_batches(edges.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), step, "a long, b long, linked boolean")
+def _solve_families(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    key = np.concatenate([_keys(b) for b in batches])
+    node = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in batches])
+    tokens = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for b in batches for t in b.column(4)]
+    n = np.array([len(t) for t in tokens])
+    start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+    pairs = []
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        if b - a == 2:
+            pairs += [(a, a + 1)] if linked(tokens[a], tokens[a + 1], percent) else []
+        elif b - a > 2:
+            size = min(1 << 16, max(1 << 10, 1 << int(16 * n[a:b].mean()).bit_length()))
+            bits = np.zeros((b - a, size // 64), dtype=np.uint64)
+            for k in range(a, b):
+                place = mix(tokens[k]) & np.uint64(size - 1)
+                np.bitwise_or.at(bits[k - a], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            group = Group(node[a:b], n[a:b], bits, n[a:b], percent, tokens[a:b])
+            pairs += [(i + a, j + a) for i, j in group.traverse()]
+    yield from _edges(node, pairs)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """node and tokens (sorted 64-bit numbers) of the documents in wanted (node, rep)."""
-    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("__text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    """node and tokens (sorted 64-bit numbers) of the documents in wanted (node, rep), and of a few others.
+
+    A Bloom filter of FILTER_BITS bits over the wanted keys keeps most other documents' texts from being read further;
+    its size doesn't depend on the data, and what passes it wrongly joins no edge.
+    """
+    place = F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(FILTER_BITS))
+    marks = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS int))")).alias("mark"))
+    found = marks.toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[found.column("word").to_numpy()] = found.column("mark").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(FILTER_BITS)).alias("__place"), F.col(text).alias("__text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batch, 1):
+        place = batch.column(0).to_numpy(zero_copy_only=False)
+        keep = (shared.value[place >> 6] >> (place & 63)) & 1
+        for part, data, offsets in text_slices(batch.filter(pa.array(keep == 1)), 1):
             doc, token = token_sets(data, offsets, words)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            n = np.diff(first)
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(token), dtype=np.uint64)])
-            node = mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
-            at = np.flatnonzero(n)
+            node = set_digests(token, first)
+            at = np.flatnonzero(np.diff(first))
             blobs = [token[first[k] : first[k + 1]].tobytes() for k in at]
             yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
-    return map_batches(rows.select("rep", "__text"), step, "node long, tokens binary").dropDuplicates(["node"])
+    return map_batches(rows, step, "node long, tokens binary").dropDuplicates(["node"])
+
+
+def set_digests(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of every set of tokens, 0 for an empty one."""
+    n = np.diff(first)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(token), dtype=np.uint64)])
+    node = mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
+    node[n == 0] = 0
+    return node
 
 
 def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,38 +411,27 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     words has its whole sequence as its only shingle; null and empty texts have none and are linked with nothing, so
     component_id is their own key. Links are pairs with 100 * |intersection| >= percent * |union|; component_id is the
     least key reachable by links. Rows with equal sets are linked; repeated rows stay. Rows that share a key but no text
-    count as documents of their own. Null keys are never the least. Tokens are 63-bit hashes of shingles.
+    count as documents of their own. Null keys are never the least. Tokens are 62-bit hashes of shingles.
     """
     scratch = Scratch(docs.sparkSession)
     common = _common_tokens(docs, text, words)
-    sets = scratch.written(_sets(docs, key, text, words, percent, common), "sets")
-    some = sets.where("n > 0")
-    classes = scratch.written(
-        some.groupBy("node").agg(F.min(key).alias("rep"), F.first(F.struct("n", "prefix", "bits")).alias("s")).select("node", "rep", "s.n", "s.prefix", "s.bits"), "classes"
-    )
-    posting = classes.select("node", F.explode("prefix").alias("token"))
+    wide = Scratch(docs.sparkSession)
+    sets = wide.written(_sets(docs, key, text, words, percent, common), "sets")
+    first = F.first(F.struct("n", "prefix", "bits", "more", "edge")).alias("s")
+    grouped = sets.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), first)
+    classes = scratch.written(grouped.select("node", "rep", "s.n", "s.prefix", "s.bits", "s.more", "s.edge"), "classes")
+    sets = scratch.written(sets.select(key, "node", "n"), "digests")
+    wide.clear()
+    posting = classes.select("node", F.posexplode("prefix").alias("pos", "token"))
     signature = [F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
     groups = posting.groupBy("token").agg(*signature).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"))
     groups = scratch.written(groups.select("token", "df"), "groups")
-    members = posting.join(groups, "token").join(classes.select("node", "n", "bits"), "node")
-    members = scratch.written(members.select("token", "df", "node", "n", "bits"), "members")
-    first = scratch.written(_candidates(members.withColumn("label", F.col("node")), percent, True).distinct(), "candidates")
-    reps = classes.select("node", "rep")
-
-    def verified(edges: DataFrame) -> DataFrame:
-        nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-        full = scratch.written(_full_sets(docs, nodes.join(reps, "node"), key, text, words), "full")
-        return scratch.written(_verify(edges, full, percent), "verified")
-
-    checked = verified(first.select("a", "b").distinct())
-    links = checked.where("linked").select("a", "b")
-    failed = checked.where("NOT linked").select("a", "b")
-    if not failed.isEmpty():
-        roots = components(links, scratch)
-        again = first.join(failed, ["a", "b"], "left_semi").select("token").distinct()
-        open_groups = members.join(again, "token", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        rest = scratch.written(_candidates(open_groups, percent, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        links = links.unionAll(verified(rest).where("linked").select("a", "b"))
+    members = posting.join(groups, "token").join(classes.select("node", "n", "bits", "more", "edge"), "node")
+    members = scratch.written(members.select("token", "df", "node", "n", "bits", F.col("pos").cast("long").alias("pos"), "more", "edge"), "members")
+    candidates = _candidates(members, percent).distinct()
+    families = scratch.written(components(candidates, scratch).select("node", F.col("root").alias("family")), "families")
+    full = _full_sets(docs, families.join(classes.select("node", "rep"), "node"), key, text, words)
+    links = _links(scratch.written(full.join(families, "node"), "full"), percent)
     roots = components(links, scratch)
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
