@@ -23,10 +23,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_BYTES, Scratch, map_batches, mix, schema_with, shingle_hashes, span_hashes, text_slices, word_spans, written
+from .common import LOWER, SPACE_BYTES, Scratch, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_slices, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -367,18 +368,39 @@ def _solve_families(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.
     yield from _edges(node, pairs)
 
 
+def _filter(df: DataFrame, place: Column) -> Broadcast:
+    """FILTER_BITS bits, with those at df's places set: a broadcast whose size doesn't depend on the data."""
+    mark = F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS int))")).alias("mark")
+    found = df.select(place.cast("long").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(mark).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[found.column("word").to_numpy()] = found.column("mark").to_numpy()
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def _posting(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, pos and token of the prefixes' tokens that are in groups, and of a few others."""
+    shared = _filter(groups, F.col("token").bitwiseAND(F.lit(FILTER_BITS - 1)))
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(1)
+        token = lists.flatten().to_numpy(zero_copy_only=False)
+        count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        place = token & (FILTER_BITS - 1)
+        keep = np.flatnonzero((shared.value[place >> 6] >> (place & 63)) & 1)
+        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
+        pos = ragged(np.zeros(len(count), dtype=np.int64), count)
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(pos[keep]), pa.array(token[keep])], names=["node", "pos", "token"])
+
+    return map_batches(classes.select("node", "prefix"), step, "node long, pos long, token long")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """node and tokens (sorted 64-bit numbers) of the documents in wanted (node, rep), and of a few others.
 
     A Bloom filter of FILTER_BITS bits over the wanted keys keeps most other documents' texts from being read further;
     its size doesn't depend on the data, and what passes it wrongly joins no edge.
     """
-    place = F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(FILTER_BITS))
-    marks = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS int))")).alias("mark"))
-    found = marks.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[found.column("word").to_numpy()] = found.column("mark").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = _filter(wanted, F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(FILTER_BITS)))
     rows = docs.select(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(FILTER_BITS)).alias("__place"), F.col(text).alias("__text"))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -422,12 +444,12 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     classes = scratch.written(grouped.select("node", "rep", "s.n", "s.prefix", "s.bits", "s.more", "s.edge"), "classes")
     sets = scratch.written(sets.select(key, "node", "n"), "digests")
     wide.clear()
-    posting = classes.select("node", F.posexplode("prefix").alias("pos", "token"))
+    posting = classes.select("node", F.explode("prefix").alias("token"))
     signature = [F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
     groups = posting.groupBy("token").agg(*signature).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"))
     groups = scratch.written(groups.select("token", "df"), "groups")
-    members = posting.join(groups, "token").join(classes.select("node", "n", "bits", "more", "edge"), "node")
-    members = scratch.written(members.select("token", "df", "node", "n", "bits", F.col("pos").cast("long").alias("pos"), "more", "edge"), "members")
+    members = _posting(classes, groups).join(groups, "token").join(classes.select("node", "n", "bits", "more", "edge"), "node")
+    members = scratch.written(members.select("token", "df", "node", "n", "bits", "pos", "more", "edge"), "members")
     candidates = _candidates(members, percent).distinct()
     families = scratch.written(components(candidates, scratch).select("node", F.col("root").alias("family")), "families")
     full = _full_sets(docs, families.join(classes.select("node", "rep"), "node"), key, text, words)
