@@ -132,15 +132,23 @@ def with_prefixes(block: Block, counts: dict[int, int]) -> Block:
     return block
 
 
-def _hits(words: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(start, window) of every occurrence of the block's windows."""
-    found = _text_tokens(words, first)
+def _entries(found: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(position, entry of the block's tokens) for every token of a text that the block has."""
     low = np.searchsorted(block.token, found, side="left")
     maybe = np.flatnonzero((low < len(block.token)) & (block.token[np.minimum(low, len(block.token) - 1)] == found))
     low = low[maybe]
     count = np.searchsorted(block.token, found[maybe], side="right") - low
-    at = np.repeat(maybe, count)
-    entry = ragged(low, count)
+    return np.repeat(maybe, count), ragged(low, count)
+
+
+def _hits(words: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(start, window) of every occurrence of the block's windows."""
+    at, entry = _entries(_text_tokens(words, first), block)
+    if (block.length == 1).any():  # a window of one word has that word as its token, wherever it stands in a text
+        lone, lone_entry = _entries(mix(words), block)
+        one = block.length[block.window[lone_entry]] == 1
+        longer = block.length[block.window[entry]] > 1
+        at, entry = np.concatenate([at[longer], lone[one]]), np.concatenate([entry[longer], lone_entry[one]])
     window = block.window[entry]
     start = at - block.offset[entry]
     doc = np.searchsorted(first, at, side="right") - 1

@@ -56,6 +56,31 @@ def test_contamination_with_several_blocks_equals_one(spark, monkeypatch):
     assert decontaminate.find_contamination(d.limit(0), b).count() == 0
 
 
+def test_contamination_of_short_items_equals_brute_force(spark):
+    random.seed(11)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(random.choices(vocabulary, k=n))) for k, n in enumerate([1, 1, 2, 2, 9, 10, 11, 11])] + [(20, "zebra")]
+    rows = [*ODD, (90, "a zebra ran"), (91, "zebra"), (92, "A Zebra"), (93, "zebras ran"), (94, "Zebra, a zebra")]
+    for k in range(60):
+        inserted = items[k % len(items)][1].split()
+        before, after = (random.choices(vocabulary[:20], k=random.randint(0, 12)) for _ in "ab")
+        rows.append((100 + k, " ".join(before + inserted[: len(inserted) - (k % 5 == 0)] + after)))
+    want = []
+    for d, t in rows:
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        hit, names = set(), set()
+        for i, text in items:
+            b = text.split()
+            for g in [b[k : k + 10] for k in range(max(1, len(b) - 9))]:
+                for k in range(len(w) - len(g) + 1):
+                    if w[k : k + len(g)] == g:
+                        hit |= set(range(k, k + len(g)))
+                        names.add(str(i))
+        want.append((str(d), len(w), len(hit), sorted(names)))
+    found = decontaminate.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in found.collect()) == sorted(want)
+
+
 # --- n-gram join
 
 
