@@ -68,6 +68,13 @@ def test_queries_without_sql_run(spark):
         assert registry.QUERIES[name](spark, SF).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["seed_merge", "xy_cut", "reading_rows"])
+def test_page_queries_without_sql_see_all_events(spark, name):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
