@@ -1,5 +1,7 @@
 """Repeated passages by sliding sentence spans.
 
+A clause of more than PIECE_WORDS words is cut into pieces at words that its content picks (the least hash of each
+PIECE_WORDS consecutive words), so that text with few marks or none has runs as well: any 51 consecutive words hold one.
 From every sentence on, the shortest run of at least MIN_SENTENCES sentences and MIN_WORDS words is hashed. Where a run
 starts and ends depends on nothing before it, so a passage has the same runs in every document that holds it. Runs are
 counted globally (partial counts first, so a passage that a third of all documents share is one row for each task), and
@@ -16,13 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_BYTES, map_batches, mix, schema_with, span_hashes, text_slices, word_spans, written
+from .common import LOWER, SPACE_BYTES, map_batches, mix, ragged, schema_with, span_hashes, text_slices, word_spans, written
 
 MIN_SENTENCES = 3
 MIN_WORDS = 20
 #: Bytes that end a sentence or clause at the end of a word.
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?;:,"]] = True
+#: Bytes of closing quotes and brackets that may follow such a mark, and other marks and closing quotes as UTF-8 numbers.
+_CLOSERS = np.zeros(256, dtype=bool)
+_CLOSERS[[ord(c) for c in "\"')]}"]] = True
+_FAR_ENDS, _FAR_CLOSERS = (np.array([int.from_bytes(c.encode(), "big") for c in marks]) for marks in ("。．！？；：，、。…।॥؟،؛۔", "”’»」』）】"))
+#: Words in a piece of a long clause, at most. With runs of 3 sentences and 20 words, any 5 * PIECE_WORDS + 1 words hold a run.
+PIECE_WORDS = 10
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -41,15 +49,61 @@ class Sentences:
     low: np.ndarray
 
 
+def _tail(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last character of every span, as a number of its UTF-8 bytes, and how many bytes it has; 3 at most."""
+    code = data[stop - 1].astype(np.int64)
+    size = np.ones(len(stop), dtype=np.int64)
+    for k in (2, 3):
+        more = np.flatnonzero((code >> 8 * (k - 2) & 0xC0 == 0x80) & (stop - start >= k) & (size == k - 1))
+        code[more] += data[stop[more] - k].astype(np.int64) << 8 * (k - 1)
+        size[more] = k
+    return code, size
+
+
+def _marked(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a word ends in a mark, once up to two closing quotes or brackets are taken off."""
+    out = _ENDS[data[end - 1]]
+    at = np.flatnonzero(_CLOSERS[data[end - 1]] | (data[end - 1] >= 0x80))
+    stop = end[at]
+    for _ in range(3):
+        code, size = _tail(data, start[at], stop)
+        out[at] |= np.isin(code, _FAR_ENDS) | ((size == 1) & _ENDS[code & 0xFF])
+        more = (((size == 1) & _CLOSERS[code & 0xFF]) | np.isin(code, _FAR_CLOSERS)) & (stop - size > start[at])
+        at, stop = at[more], (stop - size)[more]
+    return out
+
+
+def _picked(words: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """In clauses of more than PIECE_WORDS words, the last of the least hashes of every PIECE_WORDS consecutive words.
+
+    Two picked words are PIECE_WORDS apart at most, and so are the first from the clause's start and the last from its
+    end; whether a word is picked depends on the words around it only, so a passage's inner cuts are the same everywhere.
+    """
+    close = np.flatnonzero(closes)
+    length = np.diff(close, prepend=-1)
+    long = length > PIECE_WORDS
+    windows = np.where(long, length - PIECE_WORDS + 1, 0)
+    at = ragged(close - length + 1, windows)
+    best, least = at.copy(), words[at]
+    for k in range(1, PIECE_WORDS):
+        new = words[at + k]
+        lower = new <= least
+        best[lower], least[lower] = at[lower] + k, new[lower]
+    return best
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Sentences:
-    """A sentence ends with a word that ends in one of . ! ? ; : , or stands before a line break or the text's end."""
+    """A sentence ends with a word that ends in a mark (. ! ? ; : , or one of other scripts, closing quotes aside), that
+    stands before a line break or the text's end, or that is picked in a long clause."""
     start, end, text_word = word_spans(data, offsets, SPACE_BYTES)
     n = len(start)
     word_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(text_word))
     newlines = np.concatenate([[0], np.cumsum(data == 0x0A)])
     closes = np.ones(n, dtype=bool)
     if n > 1:
-        closes[:-1] = _ENDS[data[end[:-1] - 1]] | (newlines[start[1:]] > newlines[end[:-1]]) | (word_doc[1:] != word_doc[:-1])
+        closes[:-1] = _marked(data, start[:-1], end[:-1]) | (newlines[start[1:]] > newlines[end[:-1]]) | (word_doc[1:] != word_doc[:-1])
+    words = span_hashes(LOWER[data], start, end)
+    closes[_picked(words, closes)] = True
     last_word = np.flatnonzero(closes)
     first_word = np.concatenate([[0], last_word[:-1] + 1])[: len(last_word)]
     doc = word_doc[first_word]
@@ -63,7 +117,6 @@ def sentences(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SE
     last = np.where(inside, reach, -1)
     inside[inside] = doc[last[inside]] == doc[inside]
     last = np.where(inside, last, -1)
-    words = span_hashes(LOWER[data], start, end)
     hashes = []
     for salt in (np.uint64(0), np.uint64(0xA0761D6478BD642F)):
         up = np.full(n + 1, _P, dtype=np.uint64)

@@ -340,6 +340,37 @@ def test_repeated_passages_equal_brute_force(spark):
             assert (got[i].text, got[i].n_removed) == (want, len(gone[i]))
 
 
+@pytest.mark.parametrize("ends", [("",), ("", "", "", "", ","), ('."', "", "", "", ""), ("。", "", "", "", "؟", ".)")])
+def test_passages_of_51_words_are_caught_at_any_offset(ends):
+    random.seed(8)
+
+    def some(n):
+        return [f"w{random.randrange(10**6)}" + random.choice(ends) for _ in range(n)]
+
+    for k in range(300):
+        passage = some(51)
+        a, b = (some(random.choice([0, k % 40, 60])) + passage + some(random.choice([0, 7, 60])) for _ in "ab")
+        found = [substring_dedup.sentences(*common.text_bytes(pa.array([" ".join(w)]))) for w in (a, b)]
+        runs = [{(int(h), int(low)) for h, low, last in zip(s.high, s.low, s.last) if last >= 0} for s in found]
+        assert runs[0] & runs[1]
+
+
+def test_marks_of_other_scripts_and_before_quotes_end_sentences():
+    for mark in ('."', ".)", "!’", "?”", "。", "؟", "।", ",", '.")'):
+        s = substring_dedup.sentences(*common.text_bytes(pa.array([f"one two{mark} three four"])))
+        assert s.words.tolist() == [2, 2], mark
+    assert substring_dedup.sentences(*common.text_bytes(pa.array(["(one) é\" ) three"]))).words.tolist() == [4]
+
+
+def test_a_passage_without_marks_is_removed(spark):
+    random.seed(9)
+    some = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    passage = some(60)
+    got = {r.doc_id: r for r in substring_dedup.remove_repeated(docs(spark, [(1, f"{some(30)} {passage} {some(9)}"), (2, f"{some(13)} {passage}"), (3, some(90))])).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0
+    assert 20 <= got[2].n_removed_words <= 60
+
+
 def test_equal_rows_are_one_document(spark):
     text = "one two three four, five six seven eight, nine ten eleven twelve, " * 2
     rows = docs(spark, [*ODD, (9, text), (9, text), (10, text)])
