@@ -3,7 +3,8 @@
 One regular expression finds candidates; a candidate counts once it is valid: card numbers by their check digit, network
 addresses by their octets, dates by the calendar. The digits of a valid value go through a keyed Feistel network whose
 domain is exactly the values of that format, so the pseudonym is valid too, no two values share one, and equal values
-get equal pseudonyms in all documents, whatever punctuation they are written with. E-mail addresses, which have no
+get equal pseudonyms in all documents, whatever punctuation they are written with; dates that can only be read month first (12/31/1999) are permuted among
+themselves, so that their pseudonyms can be read that way too. E-mail addresses, which have no
 numeric format, become keyed digests. Each document is handled by itself; nothing is shuffled.
 """
 
@@ -21,10 +22,16 @@ DAYS = 73_049
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?|(?<![0-9A-Za-z])(?=\())\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9A-Za-z])"
+#: With a country code and groups of at most 15 digits together, or ten digits in the groups 3-3-4; PHONE's first form leaves digits after it alone.
+PHONE = (
+    r"(?:(?:\+[0-9]{1,3}[ .-]?|(?<![0-9A-Za-z])(?=\())\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|\+[1-9](?:[0-9]{7,14}|[0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-][0-9]{1,4})"
+    r"(?:(?:[ .-]?[0-9]{2}){3,4}(?![0-9])|(?:[ .-]?[0-9]{3,4}){2}(?![0-9])|[ .-]?[0-9]{2,3}[ .-]?[0-9]{3,5}(?![0-9])|[ .-]?[0-9]{5,8}))(?![0-9])"
+    r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9A-Za-z]|[.-][0-9]))"
+)
+CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9A-Za-z])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])"
+DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])"
 #: A candidate's first character is tested first, so that other characters cost one comparison.
 NUMBERS = "(?=[0-9+(])(?:" + "|".join((PHONE, DATE, SOCIAL, CARD, ADDRESS)) + ")"
 #: For the texts that have an "@".
@@ -106,22 +113,33 @@ def _only_digits(value: Column) -> Column:
 
 
 def _day(value: Column) -> Column:
-    """Days from FIRST_DAY to a date in one of the three formats; null if there is no such day or it is out of range."""
+    """Days from FIRST_DAY to a date in one of the formats; null if there is no such day or it is out of range.
+
+    A date with strokes is read day first, and month first if there is no such day.
+    """
     parsed = F.coalesce(
-        F.when(value.rlike(r"^[0-9]{4}-"), F.try_to_date(value, "yyyy-MM-dd")),
-        F.when(value.contains("/"), F.try_to_date(value, "dd/MM/yyyy")),
-        F.when(value.contains("."), F.try_to_date(value, "dd.MM.yyyy")),
+        F.when(value.rlike(r"^[0-9]{4}-"), F.try_to_date(value, "yyyy-M-d")),
+        F.when(value.contains("/"), F.coalesce(F.try_to_date(value, "d/M/yyyy"), F.try_to_date(value, "M/d/yyyy"))),
+        F.when(value.contains("."), F.try_to_date(value, "d.M.yyyy")),
     )
     day = F.datediff(parsed, F.to_date(F.lit(FIRST_DAY)))
     return F.when(day.between(0, DAYS - 1), day)
 
 
-def _permute_day(day: Column, key: str) -> Column:
-    """Walk the cycle of a permutation of 5-digit numbers until a number below DAYS comes."""
+def _month_first(value: Column) -> Column:
+    """Whether a date can be read month first only: its second number is beyond 12."""
+    return value.rlike(r"/(?:1[3-9]|[23][0-9])/")
+
+
+def _permute_day(day: Column, key: str, late: Column | None = None) -> Column:
+    """Walk the cycle of a permutation of 5-digit numbers until a number below DAYS comes; if late, a day of the month beyond 12."""
 
     def step(state: Column, _: Column) -> Column:
         nxt = permute_digits(F.lpad(state["day"].cast("string"), 5, "0"), key, "date").cast("int")
-        return F.when(state["done"], state).otherwise(F.struct(nxt.alias("day"), (nxt < DAYS).alias("done")))
+        done = nxt < DAYS
+        if late is not None:
+            done = done & (~late | (F.dayofmonth(F.date_add(F.to_date(F.lit(FIRST_DAY)), nxt)) > 12))
+        return F.when(state["done"], state).otherwise(F.struct(nxt.alias("day"), done.alias("done")))
 
     start = F.struct(day.cast("int").alias("day"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)["day"]
@@ -133,8 +151,9 @@ def kind_of(value: Column) -> Column:
     octets = F.split(value, r"\.")
     return (
         F.when(value.contains("@"), F.lit("email"))
-        .when(value.rlike(r"^[+(]"), F.lit("phone"))
-        .when(value.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1[0-9]{4})$"), F.when(_day(value).isNotNull(), F.lit("date")))
+        .when(value.rlike(r"^[+(]"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
+        .when(value.rlike(r"^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), F.lit("phone"))
+        .when(value.rlike(r"^(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})$"), F.when(_day(value).isNotNull(), F.lit("date")))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), F.lit("social")))
         .when(value.contains("."), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("address")))
         .when(luhn_sum(digits) % 10 == 0, F.lit("card"))
@@ -154,14 +173,20 @@ def _address(value: Column, key: str) -> Column:
     return _let(F.transform(F.split(value, r"\."), lambda o: o.cast("int")), permuted)
 
 
-def _phone(digits: Column, key: str) -> Column:
-    prefix = F.length(digits) - 10
+def _phone(value: Column, digits: Column, key: str) -> Column:
+    """The last ten digits permuted; of a shorter number with a country code, all but the first two."""
+    prefix = F.greatest(F.length(digits) - 10, F.when(value.startswith("+") & (F.length(digits) < 11), 2).otherwise(0))
     return F.concat(digits.substr(F.lit(1), prefix), permute_digits(digits.substr(prefix + 1, F.lit(10)), key, "phone"))
 
 
 def _date(value: Column, key: str) -> Column:
-    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), _permute_day(_day(value), key))
-    return _let(day, lambda d: F.when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
+    """Months and days get two digits. A date that can only be read month first becomes another such date."""
+    late = _month_first(value)
+    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), _permute_day(_day(value), key, late))
+    return _let(
+        day,
+        lambda d: F.when(late, F.date_format(d, "MM/dd/yyyy")).when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")),
+    )
 
 
 def _email(value: Column, key: str) -> Column:
@@ -174,7 +199,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     digits = _only_digits(value)
     return (
         F.when(kind == "email", _email(value, key))
-        .when(kind == "phone", _refill(value, _phone(digits, key)))
+        .when(kind == "phone", _refill(value, _phone(value, digits, key)))
         .when(kind == "date", _date(value, key))
         .when(kind == "social", _refill(value, permute_digits(digits, key, "social")))
         .when(kind == "card", _refill(value, _card(digits, key)))

@@ -210,6 +210,33 @@ def test_dates_and_digits_are_permuted(spark):
     assert three.distinct().count() == 1000
 
 
+def test_numbers_and_dates_of_other_formats_get_pseudonyms(spark):
+    phones = ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+15551234567", "+44 20 7946 0958", "+442079460958", "+49 30 12345678", "+49 (30) 1234-5678", "+33 1 23 45 67 89", "+45 12 34 56 78", "+49 1512 345 67890", "+1 555 1234567"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "378282246310005"]
+    dates = ["3/4/1985", "1985-3-4", "3.4.1985", "12/31/1999", "31/12/1999", "1/31/2000"]
+    left = ["555-1234", "31/31/1999", "13/13/1999", "1985-13-4", "3782 822463 10006", "+12 345", "1-2-3", "10 000 5000", "1.2.3"]
+    values = phones + cards + dates + left
+    got = [r for r in pii.pseudonymize(spark.createDataFrame([(k, f"a {v}, b") for k, v in enumerate(values)], DOCS), "k").orderBy("doc_id").collect()]
+    new = dict(zip(values, (r.text[2:-3] for r in got)))
+    kinds = dict(zip(values, ((r.pii_phone, r.pii_card, r.pii_date, r.n_pii) for r in got)))
+    for v in phones:
+        assert kinds[v] == (1, 0, 0, 1) and new[v] != v and re.sub("[0-9]", "0", new[v]) == re.sub("[0-9]", "0", v), v
+    for v in cards:
+        assert kinds[v] == (0, 1, 0, 1) and luhn(re.sub("[^0-9]", "", new[v])) == 0 and re.sub("[0-9]", "0", new[v]) == re.sub("[0-9]", "0", v), v
+    for v in dates:
+        assert kinds[v] == (0, 0, 1, 1) and new[v] != v, v
+    for v in left:
+        assert kinds[v][3] == 0 and new[v] == v, v
+    assert pii_day(spark, "+44 20 7946 0958 2024") == new["+44 20 7946 0958"] + " 2024"
+    assert new["+15551234567"] == "+1" + re.sub("[^0-9]", "", new["555-123-4567"])
+    assert [int(x) for x in new["31/12/1999"].split("/")][1] <= 12 < min(int(new[v].split("/")[1]) for v in ("12/31/1999", "1/31/2000"))
+    assert new["1985-3-4"].split("-") == pii_day(spark, "04/03/1985").split("/")[::-1]
+
+
+def pii_day(spark, date):
+    return pii.pseudonymize(spark.createDataFrame([(1, date)], DOCS), "k").first().text
+
+
 # --- quality rules and classifier
 
 
