@@ -128,11 +128,19 @@ def _close_paragraph(stack: list[tuple[str, bool]]) -> None:
             return
 
 
+def _shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of a and each start of b (len(b) + 1 numbers), in memory linear in b."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return row
+
+
 def unshared(lines: list[str], other: list[str]) -> list[str]:
     """lines without those of a longest common subsequence with other, found by rows of a bit-free dynamic programme.
 
-    Shared starts and ends are cut off first. What is left is aligned exactly while the table has at most ALIGN_CELLS
-    cells; beyond, it is split at its rarest common line and both sides are aligned (still a common subsequence).
+    Shared starts and ends are cut off first. A table of more than ALIGN_CELLS cells isn't held: lines are halved, other is
+    cut where both halves share most (Hirschberg), and the parts are aligned by themselves, which is exact as well.
     """
     head = 0
     while head < min(len(lines), len(other)) and lines[head] == other[head]:
@@ -143,17 +151,14 @@ def unshared(lines: list[str], other: list[str]) -> list[str]:
     a, b = lines[head : len(lines) - tail], other[head : len(other) - tail]
     if not a or not b:
         return a
-    if len(a) * len(b) > ALIGN_CELLS:
-        count: dict[str, list[int]] = {}
-        for k, line in enumerate(b):
-            count.setdefault(line, []).append(k)
-        common = [(len(count[line]), abs(k - len(a) // 2), k) for k, line in enumerate(a) if line in count]
-        if not common:
-            return a
-        k = min(common)[2]
-        j = count[a[k]][len(count[a[k]]) // 2]
-        return unshared(a[:k], b[:j]) + unshared(a[k + 1 :], b[j + 1 :])
     number = {line: k for k, line in enumerate(dict.fromkeys(b))}
+    if len(a) * len(b) > ALIGN_CELLS:
+        if len(a) == 1:
+            return [] if a[0] in number else a
+        left, right = (np.array([number.get(line, -1) for line in x]) for x in (a, b))
+        k = len(a) // 2
+        j = int(np.argmax(_shared_counts(left[:k], right) + _shared_counts(left[:k - 1 : -1], right[::-1])[::-1]))
+        return unshared(a[:k], b[:j]) + unshared(a[k:], b[j:])
     right = np.array([number[line] for line in b])
     table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
     for i in range(len(a) - 1, -1, -1):

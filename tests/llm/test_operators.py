@@ -463,6 +463,16 @@ def test_unshared_is_what_a_longest_common_subsequence_leaves():
         assert len(html_diff.unshared(a, b)) == len(a) - table[-1][-1]
 
 
+def test_unshared_of_long_pages_is_exact_too(monkeypatch):
+    random.seed(10)
+    one, two = ([f"{c}{k}" for k in range(n)] for c, n in (("a", 1500), ("b", 1499)))
+    assert html_diff.unshared([*one, "M", *two, "x"], ["M", *one, *two, "y"]) == ["M", "x"]
+    pairs = [[random.choices("abcdef", k=random.randint(0, 14)) for _ in "ab"] for _ in range(500)]
+    lengths = [len(html_diff.unshared(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html_diff, "ALIGN_CELLS", 3)
+    assert [len(html_diff.unshared(a, b)) for a, b in pairs] == lengths
+
+
 # --- pipeline
 
 
