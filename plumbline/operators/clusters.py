@@ -1,7 +1,6 @@
 """Clusters of drawing items: components of grids and boxes, growth, gaps, density, merges.
 
-Components come from contraction rounds on edge tables (each a groupBy and two joins, cut by a checkpoint in the shared
-folder); what depends on the order of few shapes on one page runs in pandas, page by page.
+Components come from contraction rounds on edge tables (each a groupBy and two joins, written to the shared folder); what depends on the order of few shapes on one page runs in pandas, page by page.
 """
 
 from __future__ import annotations
@@ -12,34 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root of the nodes of edges (a, b): the root is the least node of the component."""
-    edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    parents = []
-    while not edges.isEmpty():
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")))
-        parents.append(parent)
-        left, right = (parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in ("a", "b"))
-        moved = edges.join(left, "a").join(right, "b").where("pa <> pb")
-        edges = checkpoint(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if not parents:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = parents[0].select("node", F.col("parent").alias("root"))
-    for parent in parents[1:]:
-        step = parent.select(F.col("node").alias("__at"), F.col("parent").alias("__to"))
-        roots = roots.join(step, F.col("root") == F.col("__at"), "left").select("node", F.coalesce("__to", "root").alias("root"))
-    least = roots.groupBy("root").agg(F.min("node").alias("__least"))
-    return roots.join(least, "root").select("node", F.col("__least").alias("root"))
+from ..session import Scratch, written
+from .components import components
 
 
 def label(items: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """items with cluster, the least key of their component; items without edges are their own."""
-    found = components(edges)
-    return items.join(found, items[key] == found["node"], "left").select(*items.columns, F.coalesce("root", key).alias("cluster"))
+    scratch = Scratch(items.sparkSession)
+    roots = components(edges, scratch)
+    least = roots.groupBy("root").agg(F.min("node").alias("__least"))
+    found = written(roots.join(least, "root").select(F.col("node").alias("__node"), "__least"), "labels")
+    scratch.clear()
+    return items.join(found, items[key] == found["__node"], "left").select(*items.columns, F.coalesce("__least", key).alias("cluster"))
 
 
 def cell_clusters(points: DataFrame, key: str, page: str, eps: float) -> DataFrame:

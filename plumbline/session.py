@@ -1,10 +1,13 @@
-"""Sessions and checkpoints."""
+"""Sessions, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +26,66 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
     return builder.config(map=settings).getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that spark.checkpoint.dir names; on a local master without one, a temporary."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if the session still runs."""
+    with suppress(Exception):
+        context = spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Lets Spark remove shuffle files as soon as the execution that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and it outlives executors. Its path goes to paths."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder that are removed together, once what is made from them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        return written(df, label, self.paths)
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
 
 
 _shipped: set[str] = set()
