@@ -1,4 +1,4 @@
-"""What the text operators share: the shared folder, Arrow batches in bounded slices, and vectorised words.
+"""What the text operators share: Arrow batches in bounded slices, and vectorised words.
 
 Words are found on UTF-8 bytes, since every separator the operators use is ASCII: a byte table says which bytes belong
 to words, and numpy finds the runs. A word's hash is a polynomial over its bytes, mixed to 64 bits.
@@ -6,19 +6,22 @@ to words, and numpy finds the runs. A word's hash is a polynomial over its bytes
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
+from ..session import Scratch, fresh_path, written
+
+__all__ = ["Scratch", "fresh_path", "written"]
+
 #: Bytes of text that one numpy step handles; a single longer text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to Python; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SPACE_BYTES = np.ones(256, dtype=bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -36,66 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/plumbline-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, if the session still runs."""
-    with suppress(Exception):
-        context = spark.sparkContext
-        hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-#: Lets Spark remove shuffle files as soon as the execution that wrote them has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and it outlives executors. Its path goes to paths."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    if paths is not None:
-        paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables in the shared folder that are removed together, once what is made from them is written."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.paths: list[str] = []
-
-    def written(self, df: DataFrame, label: str) -> DataFrame:
-        return written(df, label, self.paths)
-
-    def clear(self) -> None:
-        while self.paths:
-            remove(self.spark, self.paths.pop())
-
-
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to limit at most, or that have one row."""
     ends = np.cumsum(sizes)
@@ -131,6 +74,14 @@ def schema_with(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *DataType.fromDDL(ddl).fields])
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, once its session is set to Arrow batches of BATCH_BYTES at most: 10,000 texts would be hundreds of MB."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCHES).rstrip("b")) <= BATCH_BYTES:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply step to every Arrow batch of df."""
 
@@ -139,7 +90,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Reco
             if batch.num_rows:
                 yield from step(batch)
 
-    return df.mapInArrow(each, schema)
+    return bounded_batches(df).mapInArrow(each, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

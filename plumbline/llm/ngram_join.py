@@ -13,8 +13,8 @@ them, never all its pairs. The forests' components are families: any two linked
 meet once, whole, in a second signature tree with larger bitmaps, whose leaves are compared token by token; it reports a
 spanning forest of true links. So no link between different components is lost.
 
-Groups of more than GROUP_SETS sets, and families of more than FAMILY_BYTES, are dealt out as pairs of chunks, so that a
-task holds two chunks at a time.
+Groups of more than GROUP_BYTES, and families of more than FAMILY_BYTES, are dealt out as pairs of chunks, so that a task
+holds two chunks at a time. Both count all that a set takes up in a worker: tokens, bitmaps, and SET_BYTES for the rest.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_BYTES, Scratch, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_slices, word_spans, written
-from .components import components
+from ..operators.components import components
+from ..session import Scratch, written
+from .common import LOWER, SPACE_BYTES, bounded_batches, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_slices, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -38,12 +39,14 @@ COUNTED_SHARE = 0.2
 COMMON_SETS = 64
 COMMON_TOKENS = 400_000
 BITS = 2048
-GROUP_SETS = 8192
+#: What a set takes up in a worker besides its tokens and bitmaps.
+SET_BYTES = 256
+GROUP_BYTES = 4 << 20
 #: Sets of more tokens also carry a bitmap of their prefix, as the bitmap of all tokens fills up.
 LONG_SET = 1000
 #: Size of the filter that finds the documents whose full sets are needed.
 FILTER_BITS = 1 << 25
-FAMILY_BYTES = 16 << 20
+FAMILY_BYTES = 12 << 20
 LEAF_SETS = 16
 FANOUT = 8
 #: Groups of up to this many sets are compared by lag, many at once, as single leaves.
@@ -92,20 +95,20 @@ def _common_tokens(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """key, node (digest of the set, 0 for an empty one), n, prefix, bits, more and edge of every document.
+    """key, hash of the text, node (digest of the set, 0 for an empty one), n, prefix, bits, more and edge of every document.
 
     The prefix has tokens as their ranks in the common order: the hash itself, or with bit 62 set for common tokens.
     more is a bitmap of a long set's prefix, edge the last rank of the prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    rows = docs.select(key, F.col(text).alias("__text"))
-    schema = schema_with(rows.select(key), "node long, n long, prefix array<long>, bits binary, more binary, edge long")
+    rows = docs.select(key, F.xxhash64(text).alias(_COPY), F.col(text).alias("__text"))
+    schema = schema_with(rows.select(key, _COPY), "node long, n long, prefix array<long>, bits binary, more binary, edge long")
     below = np.uint64(int(COUNTED_SHARE * (1 << 62)))
     last = np.uint64(1 << 62)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for part, data, offsets in text_slices(batch, 1):
+        for part, data, offsets in text_slices(batch, 2):
             doc, token = token_sets(data, offsets, words)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             n = np.diff(first)
@@ -128,7 +131,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, common
             raw = pa.array([bits[k].tobytes() for k in range(part.num_rows)], pa.binary())
             more = pa.array([_bitmap(ranks[ends[k] : ends[k + 1]]) if n[k] > LONG_SET else None for k in range(part.num_rows)], pa.binary())
             edge = pa.array([int(ranks[ends[k + 1] - 1]) if size[k] else 0 for k in range(part.num_rows)], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, raw, more, edge], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, raw, more, edge], names=schema.names)
 
     return map_batches(rows, step, schema)
 
@@ -149,7 +152,7 @@ class LongSets:
     common bits and the tokens that its own bits hide can be in the other set; the rest of it may be.
     """
 
-    def __init__(self, n: np.ndarray, more: list[bytes | None], edge: np.ndarray, percent: int) -> None:
+    def __init__(self, n: np.ndarray, more: list[memoryview | None], edge: np.ndarray, percent: int) -> None:
         self.n, self.more, self.edge, self.percent = n, more, edge, percent
 
     def possible(self, i: int, j: int) -> bool:
@@ -181,14 +184,22 @@ class Group:
         self.node, self.n, self.bits, self.left, self.percent, self.tokens = node, n, bits, left, percent, tokens
         self.slack = n - np.bitwise_count(bits).sum(axis=1)
         self.label = np.arange(len(n))
+        self.members = [[k] for k in range(len(n))]
         self.found: list[tuple[int, int]] = []
 
     def _needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def _join(self, i: int, j: int) -> None:
+        """Make one component of the two sets' components; the smaller one gets the other's label."""
+        x, y = sorted((int(self.label[i]), int(self.label[j])), key=lambda k: -len(self.members[k]))
+        self.label[self.members[y]] = x
+        self.members[x] += self.members[y]
+        self.members[y] = []
+
     def _leaves(self, a: slice, b: slice) -> None:
         """Report the candidate pairs between two leaves (or inside one)."""
-        if len({*self.label[a].tolist(), *self.label[b].tolist()}) == 1:
+        if (self.label[a] == self.label[b][0]).all() and (self.label[b] == self.label[b][0]).all():
             return
         both = np.bitwise_count(self.bits[a, None, :] & self.bits[None, b, :]).sum(axis=2)
         x, y = self.n[a, None], self.n[None, b]
@@ -198,7 +209,7 @@ class Group:
             i, j = int(i) + a.start, int(j) + b.start
             if i < j and self.label[i] != self.label[j] and (self.long is None or self.long.possible(i, j)) and (self.tokens is None or linked(self.tokens[i], self.tokens[j], self.percent)):
                 self.found.append((i, j))
-                self.label[self.label == self.label[j]] = self.label[i]
+                self._join(i, j)
 
     def traverse(self) -> list[tuple[int, int]]:
         """Dual traversal of the signature tree: a spanning forest of the candidate (or verified) pairs of positions."""
@@ -270,16 +281,15 @@ EDGES = "a long, b long"
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Forests of candidate pairs (a < b) of the groups in members: token, df, node, n, bits, pos, more, edge."""
-    chunks = F.ceil(F.col("df") / GROUP_SETS).cast("int")
+    """Forests of candidate pairs (a < b) of the groups in members: token, size, node, n, bits, pos, more, edge."""
+    chunks = F.ceil(F.col("size") / GROUP_BYTES).cast("int")
     dealt = (
         members.withColumn("m", chunks)
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .select("token", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), "node", "n", "bits", "pos", "more", "edge")
     )
-    ordered = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "node")
-
+    ordered = bounded_batches(dealt).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "node")
     return ordered.mapInArrow(lambda batches: _by_group(batches, lambda b: _solve(b, percent)), EDGES)
 
 
@@ -311,9 +321,9 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 def _solve(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     key = np.concatenate([_keys(b) for b in batches])
     node, n, pos, edge = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in (3, 4, 6, 8))
-    more = [m for b in batches for m in b.column(7).to_pylist()]
+    more = [m for b in batches for m in _buffers(b.column(7))]
     left = n - pos
-    bits = np.concatenate([np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for b in batches])
+    bits = np.concatenate([_bits(b.column(5)) for b in batches])
     start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
     size = np.diff(start)
     pairs = []
@@ -328,6 +338,24 @@ def _solve(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
     yield from _edges(node, pairs)
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    """The rows' bitmaps of BITS bits, read in place."""
+    return np.frombuffer(column.buffers()[2], dtype=np.uint64, count=len(column) * BITS // 64, offset=_offsets(column)[0]).reshape(-1, BITS // 64)
+
+
+def _offsets(column: pa.Array) -> list[int]:
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].tolist()
+
+
+def _buffers(column: pa.Array) -> list[memoryview | None]:
+    """The rows' bytes without a copy; None for null."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    data, at = memoryview(column.buffers()[2]), _offsets(column)
+    return [data[a:b] if valid else None for valid, a, b in zip(column.is_valid().to_pylist(), at[:-1], at[1:], strict=True)]
+
+
 def _edges(node: np.ndarray, pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     if pairs:
         i, j = np.array(pairs, dtype=np.int64).T
@@ -336,21 +364,22 @@ def _edges(node: np.ndarray, pairs: list[tuple[int, int]]) -> Iterator[pa.Record
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
     """Forests of the links (a < b) of the families in members: family, node, tokens."""
-    sizes = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("tokens")) / FAMILY_BYTES).cast("int").alias("m"))
+    size = F.octet_length("tokens") + F.greatest(F.octet_length("tokens") / 2, F.lit(128)) + SET_BYTES
+    sizes = members.groupBy("family").agg(F.ceil(F.sum(size) / FAMILY_BYTES).cast("int").alias("m"))
     dealt = (
         members.join(sizes, "family")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .select("family", F.least("c", "other").alias("p"), F.greatest("c", "other").alias("q"), "node", "tokens")
     )
-    ordered = dealt.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", F.octet_length("tokens"), "node")
+    ordered = bounded_batches(dealt).repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", F.octet_length("tokens"), "node")
     return ordered.mapInArrow(lambda batches: _by_group(batches, lambda b: _solve_families(b, percent)), EDGES)
 
 
 def _solve_families(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     key = np.concatenate([_keys(b) for b in batches])
     node = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in batches])
-    tokens = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for b in batches for t in b.column(4)]
+    tokens = [np.frombuffer(t, dtype=np.uint64) for b in batches for t in _buffers(b.column(4))]
     n = np.array([len(t) for t in tokens])
     start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
     pairs = []
@@ -426,6 +455,10 @@ def set_digests(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return node
 
 
+#: Names that the columns of docs don't have.
+_COPY, _KEY, _TEXT_COPY = "__copy", "__key", "__text_copy"
+
+
 def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles (size of its set), component_id (the least key it is linked to).
 
@@ -433,8 +466,14 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     words has its whole sequence as its only shingle; null and empty texts have none and are linked with nothing, so
     component_id is their own key. Links are pairs with 100 * |intersection| >= percent * |union|; component_id is the
     least key reachable by links. Rows with equal sets are linked; repeated rows stay. Rows that share a key but no text
-    count as documents of their own. Null keys are never the least. Tokens are 62-bit hashes of shingles.
+    count as documents of their own. Null keys are never the least. Tokens are 62-bit hashes of shingles, and sets count
+    as equal when their 64-bit digests are.
     """
+    return _labelled(docs.select(key, text), words, percent, key, text).drop(_COPY)
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """What find_groups() returns, with a hash of the text."""
     scratch = Scratch(docs.sparkSession)
     common = _common_tokens(docs, text, words)
     wide = Scratch(docs.sparkSession)
@@ -442,14 +481,14 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     first = F.first(F.struct("n", "prefix", "bits", "more", "edge")).alias("s")
     grouped = sets.where("n > 0").groupBy("node").agg(F.min(key).alias("rep"), first)
     classes = scratch.written(grouped.select("node", "rep", "s.n", "s.prefix", "s.bits", "s.more", "s.edge"), "classes")
-    sets = scratch.written(sets.select(key, "node", "n"), "digests")
+    sets = scratch.written(sets.select(key, _COPY, "node", "n"), "digests")
     wide.clear()
-    posting = classes.select("node", F.explode("prefix").alias("token"))
-    signature = [F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    groups = posting.groupBy("token").agg(*signature).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"))
-    groups = scratch.written(groups.select("token", "df"), "groups")
+    posting = classes.select("node", (F.coalesce(F.octet_length("more"), F.lit(0)) + BITS // 8 + SET_BYTES).alias("bytes"), F.explode("prefix").alias("token"))
+    signature = [F.count(F.lit(1)).alias("df"), F.sum("bytes").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    groups = posting.groupBy("token").agg(*signature).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"), F.max("size").alias("size"))
+    groups = scratch.written(groups.select("token", "size"), "groups")
     members = _posting(classes, groups).join(groups, "token").join(classes.select("node", "n", "bits", "more", "edge"), "node")
-    members = scratch.written(members.select("token", "df", "node", "n", "bits", "pos", "more", "edge"), "members")
+    members = scratch.written(members.select("token", "size", "node", "n", "bits", "pos", "more", "edge"), "members")
     candidates = _candidates(members, percent).distinct()
     families = scratch.written(components(candidates, scratch).select("node", F.col("root").alias("family")), "families")
     full = _full_sets(docs, families.join(classes.select("node", "rep"), "node"), key, text, words)
@@ -458,14 +497,21 @@ def find_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = scratch.written(placed.join(least, "root").select("node", "component_id"), "labels")
-    found = sets.select(key, "node", "n").join(labels, "node", "left")
+    found = sets.join(labels, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id")
-    out = written(found.select(key, F.col("n").alias("n_shingles"), component), "components")
+    out = written(found.select(key, F.col("n").alias("n_shingles"), component, _COPY), "components")
     scratch.clear()
     return out
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group, that of the least key; rows with that key all stay."""
-    found = find_groups(docs, words=words, percent=percent, key=key, text=text)
-    return docs.join(found.where(F.col(key) == F.col("component_id")).select(key).distinct(), key, "left_semi").select(*docs.columns)
+    """docs with one document of each group, that of the least key.
+
+    A document is known by its key and its text: rows that agree in both stay or go together, and one that resembles a
+    document of another text under the same least key stays with it. A document with a null key goes if it is linked to
+    one with a key, and stays otherwise, since nothing tells the documents without a key apart. Empty and null texts stay.
+    """
+    found = _labelled(docs.select(key, text), words, percent, key, text)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(_KEY), F.col(_COPY).alias(_TEXT_COPY)).distinct()
+    same = F.col(key).eqNullSafe(F.col(_KEY)) & (F.xxhash64(text) == F.col(_TEXT_COPY))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)

@@ -110,7 +110,7 @@ def brute_groups(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "group"), [(2, 60, 8192), (4, 85, 8192), (2, 60, 3), (3, 80, 8192)])
 def test_groups_equal_brute_force(spark, monkeypatch, k, percent, group):
     random.seed(percent + group)
-    monkeypatch.setattr(ngram_join, "GROUP_SETS", group)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", group * 512)
     monkeypatch.setattr(ngram_join, "FAMILY_BYTES", 200 if group == 3 else 1 << 24)
     base = [[random.choice("abcdefghij") + random.choice("xyz") for _ in range(random.choice([6, 30, 80]))] for _ in range(4)]
     rows = list(ODD)
@@ -123,6 +123,15 @@ def test_groups_equal_brute_force(spark, monkeypatch, k, percent, group):
     assert got == brute_groups(rows, k, percent)
 
 
+def test_one_document_of_each_group_stays_and_null_keys_with_it(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "a lone text without a key " * 3), (None, long + " end"), (5, long), (3, long + " tail"), (3, "nothing like the other text under its key"), (7, long), (7, long), (8, None), (9, ""), (None, None)]
+    rows += [(None, "two texts without any key that are the same"), (None, "two texts without any key that are the same")]
+    got = sorted((str(r.doc_id), str(r.text)) for r in ngram_join.keep_one(docs(spark, rows)).collect())
+    want = [r for r in rows if r[0] in (3, 8, 9) or (r[0] is None and not (r[1] or "").startswith(long))]
+    assert got == sorted((str(d), str(t)) for d, t in want)
+
+
 def test_no_documents_no_groups(spark):
     empty = docs(spark, [(1, "a")]).limit(0)
     assert ngram_join.find_groups(empty).count() == 0
