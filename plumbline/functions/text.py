@@ -137,7 +137,7 @@ def clause_items(clause: Column) -> Column:
     """The numbered items of a clause, numbers first; the whole clause if it has none."""
     marked = F.regexp_replace(clause, r"(?:^|[：:。，,;；.])\s*(?=[0-9]{1,2}\s*[、.．])", "\u0001")
     parts = F.split(marked, "\u0001")
-    items = F.filter(F.slice(parts, 2, 1000), lambda p: p != "")
+    items = F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p != "")
     return F.when(F.size(parts) > 1, items).otherwise(F.array(clause))
 
 

@@ -41,27 +41,47 @@ def _neighbours(cells: DataFrame, page: str, x: str, y: str, key: str) -> DataFr
     return moved.join(cells.select(page, x, y, F.col(key).alias("b")), [page, x, y]).select("a", "b")
 
 
-def rect_clusters(boxes: DataFrame, key: str, page: str, gap: float) -> DataFrame:
-    """Clusters of boxes with a horizontal and a vertical gap of at most gap: joined on the cells their padded boxes cover."""
-    size = max(gap, 1e-9) * 4
-    pad = gap / 2
+def _cell_size(boxes: DataFrame, least: float) -> float:
+    """A side for grid cells that boxes cover few of: their mean extent, and least if that is more."""
+    mean = boxes.agg(F.avg(F.greatest("w", "h"))).first()[0]
+    return max(mean or 0.0, least) or 1.0
+
 
-    def cells(side: str) -> DataFrame:
-        cols = F.sequence(F.floor((F.col("x") - pad) / size), F.floor((F.col("x") + F.col("w") + pad) / size))
-        rows = F.sequence(F.floor((F.col("y") - pad) / size), F.floor((F.col("y") + F.col("h") + pad) / size))
-        out = boxes.withColumn("__c", F.explode(cols)).withColumn("__r", F.explode(rows))
-        return out.select(F.col(page).alias("page"), "__c", "__r", F.col(key).alias(side), *(F.col(k).alias(side + k) for k in "xywh"))
+def _covered(boxes: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """boxes with each cell (__c, __r) of the grid that they touch when padded."""
+    cols = F.sequence(F.floor((F.col("x") - pad) / size), F.floor((F.col("x") + F.col("w") + pad) / size))
+    rows = F.sequence(F.floor((F.col("y") - pad) / size), F.floor((F.col("y") + F.col("h") + pad) / size))
+    return boxes.withColumn("__c", F.explode(cols)).withColumn("__r", F.explode(rows))
 
-    pairs = cells("a").join(cells("b"), ["page", "__c", "__r"]).where("a < b")
+
+def rect_clusters(boxes: DataFrame, key: str, page: str, gap: float) -> DataFrame:
+    """Clusters of boxes with a horizontal and a vertical gap of at most gap: joined on the cells their padded boxes cover."""
+    placed = _covered(boxes, _cell_size(boxes, 4 * gap), gap / 2 + 1e-9)
+    a, b = (placed.select(F.col(page).alias("page"), "__c", "__r", F.col(key).alias(side), *(F.col(k).alias(side + k) for k in "xywh")) for side in "ab")
+    pairs = a.join(b, ["page", "__c", "__r"]).where("a < b")
     dx = F.greatest(F.col("ax"), F.col("bx")) - F.least(F.col("ax") + F.col("aw"), F.col("bx") + F.col("bw"))
     dy = F.greatest(F.col("ay"), F.col("by")) - F.least(F.col("ay") + F.col("ah"), F.col("by") + F.col("bh"))
     return label(boxes, pairs.where((dx <= gap) & (dy <= gap)).select("a", "b"), key)
 
 
+def kept_leftovers(clustered: DataFrame, page: str, page_area: float, least_items: int = 2, least_share: float = 0.001) -> DataFrame:
+    """Boxes around clusters of leftover items (page, cluster, kind, x, y, w, h) that are worth a block of their own: with
+    an image, or with least_items items or more on least_share of the page or more."""
+    around = clustered.groupBy(page, "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "image").alias("n_images"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("__r"), F.max(F.col("y") + F.col("h")).alias("__b")
+    )
+    out = around.withColumn("w", F.col("__r") - F.col("x")).withColumn("h", F.col("__b") - F.col("y")).drop("__r", "__b")
+    return out.where((F.col("n_images") > 0) | ((F.col("n") >= least_items) & (F.col("w") * F.col("h") >= least_share * page_area)))
+
+
 def grid_components(cells: DataFrame, page: str, columns: int) -> DataFrame:
-    """8-connected components of grid cells (r, c) of a page, with their sizes and ranks by size."""
-    keyed = cells.withColumn("__key", (F.col(page) * 1_000_000 + F.col("r") * columns + F.col("c")).cast("long"))
+    """8-connected components of grid cells (r, c) of a page, with their sizes and ranks by size.
+
+    cluster is the number (r * columns + c) of the component's first cell on its page.
+    """
+    keyed = cells.withColumn("__key", F.struct(F.col(page).alias("p"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")))
     out = label(keyed, _neighbours(keyed, page, "c", "r", "__key"), "__key").drop("__key")
+    out = out.withColumn("cluster", F.col("cluster.r") * columns + F.col("cluster.c"))
     sizes = out.groupBy(page, "cluster").agg(F.count(F.lit(1)).alias("size"))
     rank = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("size"), "cluster"))
     return out.join(sizes.withColumn("rank", rank), [page, "cluster"])
@@ -203,12 +223,36 @@ def reading_rows(lines: DataFrame, page: str, key: str, factor: float = 0.5, lea
 
 
 def owners(items: DataFrame, boxes: DataFrame, page: str, item: str, box: str) -> DataFrame:
-    """item and box of every item whose centre lies in a box, the nearest centre if in several; small boxes own nothing."""
-    b = boxes.where((F.least("w", "h") >= 30) & (F.col("w") * F.col("h") >= 4000)).select(page, F.col(box), *(F.col(k).alias(f"b{k}") for k in "xywh"))
+    """item and box of every item whose centre lies in a box, the nearest centre if in several; small boxes own nothing.
+
+    An item meets the boxes that cover its centre's grid cell only.
+    """
+    big = boxes.where((F.least("w", "h") >= 30) & (F.col("w") * F.col("h") >= 4000))
+    size = _cell_size(big, 30.0)
+    b = _covered(big, size).select(page, "__c", "__r", F.col(box), *(F.col(k).alias(f"b{k}") for k in "xywh"))
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     inside = cx.between(F.col("bx"), F.col("bx") + F.col("bw")) & cy.between(F.col("by"), F.col("by") + F.col("bh"))
     d = (cx - F.col("bx") - F.col("bw") / 2) ** 2 + (cy - F.col("by") - F.col("bh") / 2) ** 2
-    return items.join(b, page).where(inside).groupBy(page, item).agg(F.min(F.struct(d.alias("d"), F.col(box).alias("box"))).alias("b")).select(page, item, F.col("b.box").alias(box))
+    at = items.withColumn("__c", F.floor(cx / size)).withColumn("__r", F.floor(cy / size))
+    return at.join(b, [page, "__c", "__r"]).where(inside).groupBy(page, item).agg(F.min(F.struct(d.alias("d"), F.col(box).alias("box"))).alias("b")).select(page, item, F.col("b.box").alias(box))
+
+
+def attach_vectors(vectors: DataFrame, seeds: DataFrame, page: str, key: str, seed: str, most: float = 60.0) -> DataFrame:
+    """page, seed, n and the box around each seed (page, seed, x, y, w, h) and the vectors whose nearest seed it is.
+
+    The distance of a vector is that of its centre to the seed's box, most at most; equal distances go to the least seed.
+    Vectors meet the seeds whose boxes, padded by most, cover their centre's grid cell.
+    """
+    size = _cell_size(seeds, 2 * most)
+    s = _covered(seeds, size, most).select(page, "__c", "__r", F.col(seed), *(F.col(k).alias(f"s{k}") for k in "xywh"))
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    out = lambda c, a, n: F.greatest(F.col(a) - c, c - F.col(a) - F.col(n), F.lit(0.0))
+    d = F.hypot(out(cx, "sx", "sw"), out(cy, "sy", "sh"))
+    met = vectors.withColumn("__c", F.floor(cx / size)).withColumn("__r", F.floor(cy / size)).join(s, [page, "__c", "__r"]).withColumn("__d", d).where(F.col("__d") <= most)
+    nearest = met.groupBy(page, key).agg(F.min(F.struct("__d", seed)).alias("b"), *(F.first(k).alias(k) for k in "xywh")).select(page, F.col(f"b.{seed}").alias(seed), *"xywh", F.lit(1).alias("__n"))
+    grown = seeds.select(page, seed, *"xywh", F.lit(0).alias("__n")).unionByName(nearest)
+    box = grown.groupBy(page, seed).agg(F.sum("__n").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("__r"), F.max(F.col("y") + F.col("h")).alias("__b"))
+    return box.select(page, seed, "n", "x", "y", (F.col("__r") - F.col("x")).alias("w"), (F.col("__b") - F.col("y")).alias("h"))
 
 
 def menu_clusters(elements: DataFrame, block: str) -> DataFrame:
@@ -223,16 +267,17 @@ def menu_clusters(elements: DataFrame, block: str) -> DataFrame:
     return found.withColumn("is_menu", (F.col("n") >= 8) & (F.col("n_rows") >= 3) & (F.col("area") <= 0.25))
 
 
-def bridge_merge(parts: DataFrame, lines: DataFrame, page: str, key: str, most_gap: float, least_reach: float, thickness: float) -> DataFrame:
-    """parts (page, key, x, y, w, h, n) with cluster: disjoint neighbours that a thin line joins are one.
+def bridge_merge(parts: DataFrame, lines: DataFrame, page: str, key: str, line: str, most_gap: float, least_reach: float, thickness: float) -> DataFrame:
+    """parts (page, key, x, y, w, h, n) with cluster: disjoint neighbours that a thin line (page, line, x, y, w, h) joins are one.
 
     Two parts are joined if they share 0.7 of the lesser extent in a row or a column, lie at most most_gap apart, have
     sizes n within a ratio of 0.30, and one line at most thickness thick reaches into both, least_reach in total. Lines
-    meet the parts they touch first, so pairs come from shared lines, not from all parts of a page.
+    meet the parts that cover a grid cell with them, so pairs come from shared lines, not from all parts of a page.
     """
-    thin = lines.where((F.col("w") <= thickness) | (F.col("h") <= thickness)).select(page, *(F.col(k).alias(f"l{k}") for k in "xywh"), F.monotonically_increasing_id().alias("__line"))
+    size = _cell_size(parts, most_gap)
+    thin = _covered(lines.where((F.col("w") <= thickness) | (F.col("h") <= thickness)), size).select(page, "__c", "__r", F.col(line).alias("__line"), *(F.col(k).alias(f"l{k}") for k in "xywh"))
     touch = (F.col("lx") <= F.col("x") + F.col("w")) & (F.col("x") <= F.col("lx") + F.col("lw")) & (F.col("ly") <= F.col("y") + F.col("h")) & (F.col("y") <= F.col("ly") + F.col("lh"))
-    met = parts.join(thin, page).where(touch)
+    met = _covered(parts, size).join(thin, [page, "__c", "__r"]).where(touch).dropDuplicates([page, key, "__line"])
     a, b = (met.select(page, "__line", F.col(key).alias(s), *(F.col(k).alias(s + k) for k in ("x", "y", "w", "h", "n")), *([F.col(k) for k in ("lx", "ly", "lw", "lh")] if s == "a" else [])) for s in ("a", "b"))
     p = a.join(b, [page, "__line"]).where("a < b")
 

@@ -89,10 +89,19 @@ def line_order(log: DataFrame, row: str) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, day: str = "day") -> DataFrame:
-    """Old and new rows in order: header rows first, then by day, rows without one last, else as they came (seq)."""
+    """Old and new rows with their position: header rows first, then by day, rows without one last, else as they came (seq).
+
+    Positions are counted within each day and moved by the rows of the days before, of which there is one row a day; no
+    sort runs over all rows.
+    """
     rows = old.withColumn("source", F.lit(0)).unionByName(new.withColumn("source", F.lit(1)))
-    order = [F.desc("header"), F.asc_nulls_last(day), "source", "seq"]
-    return rows.withColumn("header", F.coalesce(is_header(F.col("date"), F.col("model")), F.lit(False))).orderBy(*order)
+    rows = rows.withColumn("header", F.coalesce(is_header(F.col("date"), F.col("model")), F.lit(False)))
+    days = rows.groupBy(F.col("header").alias("__header"), F.col(day).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.desc("__header"), F.asc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("__header", "__day", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("header", day).orderBy("source", "seq"))
+    numbered = rows.withColumn("__within", within).join(days, (F.col("header") == F.col("__header")) & F.col(day).eqNullSafe(F.col("__day")))
+    return numbered.withColumn("position", (F.col("__before") + F.col("__within")).cast("int")).drop("__header", "__day", "__before", "__within")
 
 
 def delete_rows(log: DataFrame, gone: DataFrame, row: str = "row") -> DataFrame:

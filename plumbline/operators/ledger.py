@@ -6,10 +6,13 @@ of materials. Quantities are doubles. Every direction but "out" adds to the stoc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 
 def signed(quantity: Column, direction: Column) -> Column:
@@ -102,10 +105,41 @@ def rename_merge(dimension: DataFrame, renames: DataFrame, name: str = "name") -
     return renamed.groupBy(F.col("__name").alias(name)).agg(F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"))
 
 
-def guard(moves: DataFrame, material: str, order: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """moves with accepted: whether the balance stays above -tolerance up to and with this movement."""
-    frame = Window.partitionBy(material).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return running_balance(moves, material, order).withColumn("accepted", F.min("balance").over(frame) >= -tolerance)
+def guard(moves: DataFrame, material: str, order: Sequence[str], quantity: str = "qty", direction: str = "direction", tolerance: float = 1e-9) -> DataFrame:
+    """moves with accepted and balance (after the movement), booked one after another in each material's order.
+
+    What goes out is refused if it exceeds the stock by more than tolerance, and isn't booked then; anything else is
+    booked. Whether a movement is refused depends on all before it, so a material's movements are one sequence: rows are
+    sorted by material within partitions and read as a stream, so that only the running stock is held. A null quantity
+    counts as 0.
+    """
+    rows = moves.withColumn("__signed", F.coalesce(signed(F.col(quantity), F.col(direction)), F.lit(0.0)).cast("double")).withColumn("__out", F.coalesce(F.col(direction) == "out", F.lit(False)))
+    ordered = rows.withColumn("__material", F.xxhash64(material)).repartition(material).sortWithinPartitions(material, *order)
+    schema = StructType([*moves.schema.fields, StructField("accepted", BooleanType()), StructField("balance", DoubleType())])
+    n = len(moves.columns)
+
+    def book(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stock = None, 0.0
+        for batch in batches:
+            change, goes_out, keys = (batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(3))
+            accepted, balance = np.ones(len(keys), dtype=bool), np.empty(len(keys))
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[a] != key:
+                    key, stock = keys[a], 0.0
+                at = a
+                while at < b:
+                    sums = np.cumsum(np.concatenate([[stock], change[at:b]]))[1:]
+                    short = np.flatnonzero(goes_out[at:b] & (sums < -tolerance))
+                    stop = at + int(short[0]) if len(short) else b
+                    balance[at:stop] = sums[: stop - at]
+                    stock = float(sums[stop - at - 1]) if stop > at else stock
+                    if stop < b:
+                        accepted[stop], balance[stop] = False, stock
+                    at = stop + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(accepted), pa.array(balance)], names=schema.names)
+
+    return ordered.mapInArrow(book, schema)
 
 
 def split_valid(batch: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch, written
+
 
 def fingerprint(df: DataFrame, by: list[str], cells: list[Column]) -> DataFrame:
     """SHA-256 (upper hex) of each group's rows: cells joined by |, rows in binary order joined by line breaks."""
@@ -26,24 +28,46 @@ def roots(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     return joined.withColumn(parent, F.when(F.col("__known").isNotNull(), F.col(parent))).drop("__known")
 
 
-def effectively_active(nodes: DataFrame, key: str, parent: str, active: str, depth: int = 2) -> DataFrame:
-    """nodes with effective: active, and so is every ancestor; trees are at most depth levels below their roots."""
-    out = nodes.withColumn("effective", F.col(active)).withColumn("__up", F.col(parent))
-    for _ in range(depth):
-        above = nodes.select(F.col(key).alias("__k"), F.col(active).alias("__a"), F.col(parent).alias("__p"))
-        out = out.join(above, F.col("__up") == F.col("__k"), "left")
-        out = out.withColumn("effective", F.col("effective") & F.coalesce("__a", F.lit(True))).withColumn("__up", F.col("__p")).drop("__k", "__a", "__p")
-    return out.drop("__up")
+def effectively_active(nodes: DataFrame, key: str, parent: str, active: str) -> DataFrame:
+    """nodes with effective: active, and so is every ancestor. A parent that doesn't exist makes its children inactive.
+
+    Each round a node learns of twice as many ancestors, so a tree of depth d takes log2(d) rounds, each written out; only
+    nodes that have ancestors left go into the next. A cycle of parents is an error.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    count, rounds = nodes.count(), 0
+    known = nodes.select(F.col(key).alias("__k"), F.coalesce(F.col(active), F.lit(False)).alias("__a"), F.col(parent).alias("__up"))
+    while not known.where("__up IS NOT NULL").isEmpty():
+        if 1 << rounds > 2 * count:
+            raise ValueError("the parents form a cycle")
+        above = known.select(F.col("__k").alias("__key"), F.col("__a").alias("__above"), F.col("__up").alias("__next"))
+        joined = known.join(above, F.col("__up") == F.col("__key"), "left")
+        ok = F.col("__a") & (F.col("__up").isNull() | F.coalesce("__above", F.lit(False)))
+        known = scratch.written(joined.select("__k", ok.alias("__a"), F.when(ok, F.col("__next")).alias("__up")), "ancestors")
+        rounds += 1
+    out = nodes.join(known.select("__k", F.col("__a").alias("effective")), nodes[key] == F.col("__k")).drop("__k")
+    return out if not rounds else _kept(out, scratch)
+
+
+def _kept(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df written out, so that the tables it comes from can go."""
+    out = written(df, "kept")
+    scratch.clear()
+    return out
 
 
 def latest_profile(profiles: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:
-    """For every wanted key the newest profile of exactly that key, else of one that starts with it."""
-    p = profiles.select(F.col(key).alias("__key"), F.col(order).alias("__order"))
-    tier = F.when(F.col("__key") == F.col("wanted"), 0).when(F.col("__key").startswith(F.col("wanted")), 1)
-    stem = F.substring("wanted", 1, 4)
-    joined = wanted.join(p, F.substring("__key", 1, 4) == stem).withColumn("tier", tier).where("tier IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("wanted").orderBy("tier", F.desc("__order")))
-    return joined.withColumn("__r", rank).where("__r = 1").select("wanted", F.col("__key").alias("found"), F.col("__order").alias("id"), "tier")
+    """For every wanted key the newest profile of exactly that key, else of one that starts with it.
+
+    Profiles are joined on their starts of the lengths that wanted keys have.
+    """
+    lengths = wanted.agg(F.collect_set(F.length("wanted")).alias("__lengths"))
+    p = profiles.select(F.col(key).alias("__key"), F.col(order).alias("__order")).join(F.broadcast(lengths))
+    starts = F.transform(F.filter("__lengths", lambda n: n <= F.length("__key")), lambda n: F.substring(F.col("__key"), F.lit(1), n))
+    joined = p.select("__key", "__order", F.explode(starts).alias("wanted")).join(wanted.select("wanted").distinct(), "wanted")
+    tier = F.when(F.col("__key") == F.col("wanted"), 0).otherwise(1)
+    best = joined.groupBy("wanted").agg(F.min_by(F.struct("__key", "__order", tier.alias("tier")), F.struct(tier, -F.col("__order"))).alias("b"))
+    return best.select("wanted", F.col("b.__key").alias("found"), F.col("b.__order").alias("id"), "b.tier")
 
 
 def attach(blocks: DataFrame, elements: DataFrame, key: str, order: str, text: str) -> DataFrame:

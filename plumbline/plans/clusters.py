@@ -10,40 +10,48 @@ from ..operators import geometry as op
 from .geometry import BOXES_SQL, boxes
 from .registry import query, table
 
-FEW = "user_id < 60"
 REACH = """{name} AS (SELECT {key} AS node, {key} AS other FROM {items} UNION SELECT node, b FROM {name} JOIN edges ON a = other)"""
 
 
-def _clustered(edges: str, items: str, key: str = "event_id") -> str:
-    return f"WITH RECURSIVE {BOXES_SQL}, s AS MATERIALIZED ({items}), edges AS MATERIALIZED ({edges}), " + REACH.format(name="reach", key=key, items="s") + f" SELECT node AS {key}, min(other) AS cluster FROM reach GROUP BY node"
+def _clustered(edges: str, key: str = "event_id") -> str:
+    return f"WITH RECURSIVE {BOXES_SQL}, s AS MATERIALIZED (SELECT * FROM bx), edges AS MATERIALIZED ({edges}), " + REACH.format(name="reach", key=key, items="s") + f", cl AS (SELECT node AS {key}, min(other) AS cluster FROM reach GROUP BY node)"
 
 
-ITEMS = "SELECT * FROM bx WHERE user_id < 60 AND event_id % 12 = 0"
+def _near(gap: float) -> str:
+    return f"SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id <> b.event_id AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= {gap} AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= {gap}"
 
 
-@query("CC1", _clustered("SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND abs(floor(a.x / 0.04) - floor(b.x / 0.04)) <= 1 AND abs(floor(a.y / 0.04) - floor(b.y / 0.04)) <= 1 AND a.event_id <> b.event_id", ITEMS))
+@query("CC1", _clustered("SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND abs(floor(a.x / 0.04) - floor(b.x / 0.04)) <= 1 AND abs(floor(a.y / 0.04) - floor(b.y / 0.04)) <= 1 AND a.event_id <> b.event_id") + " SELECT event_id, cluster FROM cl")
 def cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
-    return clusters.cell_clusters(b, "event_id", "page", 0.04).select("event_id", "cluster")
+    return clusters.cell_clusters(boxes(spark, sf_dir), "event_id", "page", 0.04).select("event_id", "cluster")
+
+
+@query("CC2", _clustered(_near(0.013)) + " SELECT event_id, cluster FROM cl")
+def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.rect_clusters(boxes(spark, sf_dir), "event_id", "page", 0.013).select("event_id", "cluster")
 
 
 @query(
-    "CC2 CC13",
-    _clustered("SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id <> b.event_id AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 0.013 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.013", ITEMS),
+    "CC13",
+    _clustered(_near(0.013))
+    + """ SELECT page, cluster, count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS n_images, min(x) AS x, min(y) AS y, round(max(x + w) - min(x), 9) AS w, round(max(y + h) - min(y), 9) AS h FROM bx JOIN cl USING (event_id) GROUP BY page, cluster
+      HAVING count(*) FILTER (event_id % 9 = 0) > 0 OR (count(*) >= 2 AND (max(x + w) - min(x)) * (max(y + h) - min(y)) >= 0.005)""",
 )
-def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
-    return clusters.rect_clusters(b, "event_id", "page", 0.013).select("event_id", "cluster")
+def leftover_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of leftovers that are kept: with an image, or several items on half a percent of the page."""
+    found = clusters.rect_clusters(boxes(spark, sf_dir), "event_id", "page", 0.013)
+    kept = clusters.kept_leftovers(found.withColumn("kind", F.when(F.col("event_id") % 9 == 0, "image").otherwise("text")), "page", 1.0, least_share=0.005)
+    return kept.select("page", "cluster", "n", "n_images", "x", "y", F.round("w", 9).alias("w"), F.round("h", 9).alias("h"))
 
 
-CELLS_SQL = """cc AS (SELECT page, unnest(range(floor(x * 20)::INT, least(19, floor((x + w) * 20)::INT) + 1)) AS c, y, h FROM bx WHERE event_id % 2 = 0), rc AS (SELECT page, c, unnest(range(floor(y * 20)::INT, least(19, floor((y + h) * 20)::INT) + 1)) AS r FROM cc),
-  g AS MATERIALIZED (SELECT page, r, c, count(*) AS n, page * 1000000 + r * 20 + c AS k FROM rc GROUP BY page, r, c HAVING count(*) >= 3), st AS MATERIALIZED (SELECT * FROM g WHERE n >= 6)"""
+CELLS_SQL = """cc AS (SELECT page, unnest(range(floor(x * 10)::INT, least(9, floor((x + w) * 10)::INT) + 1)) AS c, y, h FROM bx), rc AS (SELECT page, c, unnest(range(floor(y * 10)::INT, least(9, floor((y + h) * 10)::INT) + 1)) AS r FROM cc),
+  g AS MATERIALIZED (SELECT page, r, c, count(*) AS n, page * 100 + r * 10 + c AS k FROM rc GROUP BY page, r, c HAVING count(*) >= 2), st AS MATERIALIZED (SELECT * FROM g WHERE n >= 3)"""
 STRONG_SQL = CELLS_SQL + """, edges AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM st AS a JOIN st AS b ON a.page = b.page AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.k <> b.k),
-  reach AS (SELECT k AS node, k AS other FROM st UNION SELECT node, b FROM reach JOIN edges ON a = other), cl AS (SELECT node AS k, min(other) AS cluster FROM reach GROUP BY node)"""
+  reach AS (SELECT k AS node, k AS other FROM st UNION SELECT node, b FROM reach JOIN edges ON a = other), cl AS (SELECT node AS k, min(other) % 100 AS cluster FROM reach GROUP BY node)"""
 
 
-def strong_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.grid_density(boxes(spark, sf_dir).where("event_id % 2 = 0"), ["page"], 20, 20, strong=6, weak=3)
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.grid_density(boxes(spark, sf_dir), ["page"], 10, 10, strong=3, weak=2)
 
 
 @query(
@@ -52,21 +60,20 @@ def strong_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT st.page, st.r::INT AS r, st.c::INT AS c, cl.cluster, rk.size, rk.rank FROM st JOIN cl USING (k) JOIN rk ON rk.page = st.page AND rk.cluster = cl.cluster""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.grid_components(strong_cells(spark, sf_dir).where("strong"), "page", 20).select("page", "r", "c", "cluster", "size", "rank")
+    return clusters.grid_components(dense_cells(spark, sf_dir).where("strong"), "page", 10).select("page", "r", "c", "cluster", "size", "rank")
 
 
-@query(
-    "CC4",
-    f"""WITH RECURSIVE {BOXES_SQL}, {STRONG_SQL}, w AS (SELECT * FROM g WHERE n < 6), o0 AS (SELECT page, r, c, cluster FROM st JOIN cl USING (k)),
+GROWN_SQL = STRONG_SQL + """, w AS (SELECT * FROM g WHERE n < 3), o0 AS (SELECT page, r, c, cluster FROM st JOIN cl USING (k)),
     f1 AS (SELECT w.page, w.r, w.c, min(cluster) AS cluster FROM w JOIN o0 ON o0.page = w.page AND abs(o0.r - w.r) <= 1 AND abs(o0.c - w.c) <= 1 GROUP BY ALL),
-    w2 AS (SELECT page, r, c FROM w EXCEPT SELECT page, r, c FROM f1), f2 AS (SELECT w2.page, w2.r, w2.c, min(cluster) AS cluster FROM w2 JOIN f1 ON f1.page = w2.page AND abs(f1.r - w2.r) <= 1 AND abs(f1.c - w2.c) <= 1 GROUP BY ALL)
-    SELECT page, r::INT AS r, c::INT AS c, cluster FROM (SELECT * FROM o0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT page, r, c, NULL FROM (SELECT page, r, c FROM w2 EXCEPT SELECT page, r, c FROM f2))""",
-)
+    w2 AS (SELECT page, r, c FROM w EXCEPT SELECT page, r, c FROM f1), f2 AS (SELECT w2.page, w2.r, w2.c, min(cluster) AS cluster FROM w2 JOIN f1 ON f1.page = w2.page AND abs(f1.r - w2.r) <= 1 AND abs(f1.c - w2.c) <= 1 GROUP BY ALL)"""
+
+
+@query("CC4", f"WITH RECURSIVE {BOXES_SQL}, {GROWN_SQL} SELECT page, r::INT AS r, c::INT AS c, cluster FROM (SELECT * FROM o0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT page, r, c, NULL FROM (SELECT page, r, c FROM w2 EXCEPT SELECT page, r, c FROM f2))")
 def weak_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = strong_cells(spark, sf_dir)
-    owned = clusters.grid_components(cells.where("strong"), "page", 20).select("page", "r", "c", "n", "cluster")
+    cells = dense_cells(spark, sf_dir)
+    owned = clusters.grid_components(cells.where("strong"), "page", 10).select("page", "r", "c", "n", "cluster")
     weak = cells.where("NOT strong").select("page", "r", "c", "n", F.lit(None).cast("long").alias("cluster"))
-    return clusters.grow(owned.unionAll(weak), "page", least=3).select("page", "r", "c", "cluster")
+    return clusters.grow(owned.unionAll(weak), "page", least=2).select("page", "r", "c", "cluster")
 
 
 @query("WN6", "SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT + 1 AS island FROM (SELECT event_id, user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 36000 THEN 1 ELSE 0 END AS new FROM (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t FROM events))")
@@ -80,11 +87,11 @@ def largest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.largest_gap(table(spark, sf_dir, "events"), ["user_id"], "value")
 
 
-SEGMENTS_SQL = "sg AS (SELECT l_suppkey AS page, l_quantity % 10 AS pos, l_extendedprice / 20 AS start, l_extendedprice / 20 + 4 + l_linenumber AS stop FROM lineitem WHERE l_suppkey <= 40)"
+SEGMENTS_SQL = "sg AS (SELECT l_suppkey AS page, l_quantity % 10 AS pos, l_extendedprice / 20 AS start, l_extendedprice / 20 + 4 + l_linenumber AS stop FROM lineitem)"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 40")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("page"), (F.col("l_quantity") % 10).alias("pos"), (F.col("l_extendedprice") / 20).alias("start"), (F.col("l_extendedprice") / 20 + 4 + F.col("l_linenumber")).alias("stop"))
 
 
@@ -106,29 +113,44 @@ def uncovered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "CC10 CC12",
-    f"""WITH {BOXES_SQL}, i AS (SELECT page, event_id, x * 1000 AS x, y * 1000 AS y, w * 1000 AS w, h * 1000 AS h FROM bx WHERE event_id % 3 = 0), b AS (SELECT page, event_id AS box, x * 1000 AS bx, y * 1000 AS by0, w * 4000 AS bw, h * 4000 AS bh FROM bx WHERE event_id % 50 = 1),
+    "CC12",
+    f"""WITH {BOXES_SQL}, i AS (SELECT page, event_id, x * 1000 AS x, y * 1000 AS y, w * 1000 AS w, h * 1000 AS h FROM bx WHERE event_id % 10 <> 1), b AS (SELECT page, event_id AS box, x * 1000 AS bx, y * 1000 AS by0, w * 4000 AS bw, h * 4000 AS bh FROM bx WHERE event_id % 10 = 1),
     o AS (SELECT i.page, event_id, min(((x + w / 2 - bx - bw / 2) ** 2 + (y + h / 2 - by0 - bh / 2) ** 2, box)) AS best FROM i JOIN b USING (page) WHERE least(bw, bh) >= 30 AND bw * bh >= 4000 AND x + w / 2 BETWEEN bx AND bx + bw AND y + h / 2 BETWEEN by0 AND by0 + bh GROUP BY i.page, event_id)
     SELECT page, event_id, best[2] AS box FROM o""",
 )
 def item_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which box owns an item: the nearest of those that hold its centre."""
+    """Which box (every tenth event, enlarged) owns an item (the others): the nearest of those that hold its centre."""
     b = boxes(spark, sf_dir).drop("user_id")
-    items = b.where("event_id % 3 = 0").select("page", "event_id", *((F.col(k) * 1000).alias(k) for k in "xywh"))
-    big = b.where("event_id % 50 = 1").select("page", F.col("event_id").alias("box"), *((F.col(k) * (1000 if k in "xy" else 4000)).alias(k) for k in "xywh"))
+    items = b.where("event_id % 10 <> 1").select("page", "event_id", *((F.col(k) * 1000).alias(k) for k in "xywh"))
+    big = b.where("event_id % 10 = 1").select("page", F.col("event_id").alias("box"), *((F.col(k) * (1000 if k in "xy" else 4000)).alias(k) for k in "xywh"))
     return clusters.owners(items, big, "page", "event_id", "box")
 
 
+@query(
+    "CC10",
+    f"""WITH {BOXES_SQL}, v AS (SELECT page, event_id, x * 1000 AS x, y * 1000 AS y, w * 1000 AS w, h * 1000 AS h FROM bx WHERE event_id % 10 <> 1), s AS (SELECT page, event_id AS seed, x * 1000 AS x, y * 1000 AS y, w * 1000 AS w, h * 1000 AS h FROM bx WHERE event_id % 10 = 1),
+    d AS (SELECT v.*, seed, greatest(s.x - v.x - v.w / 2, v.x + v.w / 2 - s.x - s.w, 0) AS dx, greatest(s.y - v.y - v.h / 2, v.y + v.h / 2 - s.y - s.h, 0) AS dy FROM v JOIN s USING (page)),
+    n AS (SELECT page, event_id, arg_min(seed, (sqrt(dx * dx + dy * dy), seed)) AS seed, any_value(x) AS x, any_value(y) AS y, any_value(w) AS w, any_value(h) AS h FROM d WHERE sqrt(dx * dx + dy * dy) <= 60 GROUP BY page, event_id),
+    al AS (SELECT page, seed, x, y, w, h, 0 AS n FROM s UNION ALL SELECT page, seed, x, y, w, h, 1 FROM n)
+    SELECT page, seed, sum(n)::BIGINT AS n, round(min(x), 6) AS x, round(min(y), 6) AS y, round(max(x + w) - min(x), 6) AS w, round(max(y + h) - min(y), 6) AS h FROM al GROUP BY page, seed""",
+)
+def grown_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed boxes (every tenth event) with the other events as vectors attached to the nearest within 60."""
+    b = boxes(spark, sf_dir).select("page", "event_id", *((F.col(k) * 1000).alias(k) for k in "xywh"))
+    grown = clusters.attach_vectors(b.where("event_id % 10 <> 1"), b.where("event_id % 10 = 1").withColumnRenamed("event_id", "seed"), "page", "event_id", "seed")
+    return grown.select("page", "seed", "n", *(F.round(k, 6).alias(k) for k in "xywh"))
+
+
 @query(
     "V16 WN6",
-    """WITH e AS (SELECT user_id, event_id, (event_id % 83) / 400.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.05 AS w, 0.01 + (event_id % 3) / 100.0::DOUBLE AS h FROM events WHERE event_id % 8 = 0), m AS (SELECT user_id, median(h) AS m FROM e GROUP BY user_id),
+    """WITH e AS (SELECT user_id, event_id, (event_id % 83) / 400.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.05 AS w, 0.01 + (event_id % 3) / 100.0::DOUBLE AS h FROM events), m AS (SELECT user_id, median(h) AS m FROM e GROUP BY user_id),
     l AS (SELECT *, CASE WHEN y + h / 2 - lag(y + h / 2) OVER (PARTITION BY user_id ORDER BY y + h / 2, x) > m * 1.5 THEN 1 ELSE 0 END AS new FROM e JOIN m USING (user_id)),
     k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY y + h / 2, x ROWS UNBOUNDED PRECEDING) AS island FROM l), a AS (SELECT user_id, count(*) AS n, count(DISTINCT island) AS n_rows, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS area FROM k GROUP BY user_id)
     SELECT user_id, n, n_rows, n >= 8 AND n_rows >= 3 AND area <= 0.25 AS is_menu FROM a""",
 )
 def menu_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where("event_id % 8 = 0").select("user_id", "event_id", ((e % 83) / 400.0).alias("x"), ((e % 79) / 100.0).alias("y"), F.lit(0.05).alias("w"), (F.lit(0.01) + (e % 3) / 100.0).alias("h"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", ((e % 83) / 400.0).alias("x"), ((e % 79) / 100.0).alias("y"), F.lit(0.05).alias("w"), (F.lit(0.01) + (e % 3) / 100.0).alias("h"))
     return clusters.menu_clusters(rows, "user_id").select("user_id", "n", "n_rows", "is_menu")
 
 
@@ -142,23 +164,17 @@ def xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.xy_cut(boxes(spark, sf_dir).drop("user_id"), "page", "event_id", 0.02)
 
 
-@query("WN7 WN9")
+@query("WN7")
 def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.reading_rows(boxes(spark, sf_dir).drop("user_id"), "page", "event_id", least=0.01)
 
 
-@query(
-    "CC6 AG13",
-    f"""WITH RECURSIVE {BOXES_SQL}, s AS MATERIALIZED ({ITEMS}), edges AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id <> b.event_id AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= 0.007 AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.007),
-    {REACH.format(name="reach", key="event_id", items="s")}, c AS (SELECT node AS event_id, min(other) AS cluster FROM reach GROUP BY node)
-    SELECT s.page, cluster, count(*) AS n, min(x) AS x, round(max(x + w) - min(x), 9) AS w FROM s JOIN c USING (event_id) GROUP BY s.page, cluster HAVING count(*) >= 2""",
-)
+@query("CC6 AG13", _clustered(_near(0.007)) + " SELECT page, cluster, count(*) AS n, min(x) AS x, round(max(x + w) - min(x), 9) AS w FROM bx JOIN cl USING (event_id) GROUP BY page, cluster HAVING count(*) >= 2")
 def exclusion_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("user_id < 60 AND event_id % 12 = 0")
-    return clusters.exclusion_zones(b, "page", "event_id", 0.007).select("page", "cluster", "n", "x", F.round("w", 9).alias("w"))
+    return clusters.exclusion_zones(boxes(spark, sf_dir), "page", "event_id", 0.007).select("page", "cluster", "n", "x", F.round("w", 9).alias("w"))
 
 
-BRIDGE_SQL = """pt AS MATERIALIZED (SELECT page, event_id, x * 0.8 AS x, y * 0.8 AS y, w, h, 1 + event_id % 4 AS n FROM bx WHERE event_id % 9 = 0), ln AS (SELECT page, event_id AS line, x * 0.7 AS lx, y * 0.8 + 0.01 AS ly, w * 5 AS lw, 0.001::DOUBLE AS lh FROM bx WHERE event_id % 6 = 1),
+BRIDGE_SQL = """pt AS MATERIALIZED (SELECT page, event_id, x * 0.8 AS x, y * 0.8 AS y, w, h, 1 + event_id % 4 AS n FROM bx WHERE event_id % 3 <> 1), ln AS (SELECT page, event_id AS line, x * 0.7 AS lx, y * 0.8 + 0.01 AS ly, w * 5 AS lw, 0.001::DOUBLE AS lh FROM bx WHERE event_id % 3 = 1),
   mt AS (SELECT pt.*, line, lx, ly, lw, lh FROM pt JOIN ln USING (page) WHERE lx <= x + w AND x <= lx + lw AND ly <= y + h AND y <= ly + lh),
   pr AS (SELECT a.event_id AS a, b.event_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS sx, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS sy, least(a.h, b.h) AS mh, least(a.w, b.w) AS mw, a.n AS na, b.n AS nb,
     least(a.lx + a.lw, a.x + a.w) - greatest(a.lx, a.x) + least(a.lx + a.lw, b.x + b.w) - greatest(a.lx, b.x) AS ix, least(a.ly + a.lh, a.y + a.h) - greatest(a.ly, a.y) + least(a.ly + a.lh, b.y + b.h) - greatest(a.ly, b.y) AS iy
@@ -169,7 +185,8 @@ BRIDGE_SQL = """pt AS MATERIALIZED (SELECT page, event_id, x * 0.8 AS x, y * 0.8
 
 @query("CC7", f"WITH RECURSIVE {BOXES_SQL}, {BRIDGE_SQL}, {REACH.format(name='reach', key='event_id', items='pt')} SELECT node AS event_id, min(other) AS cluster FROM reach GROUP BY node")
 def bridge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event is a line, the others are parts."""
     b = boxes(spark, sf_dir).drop("user_id")
-    parts = b.where("event_id % 9 = 0").select("page", "event_id", (F.col("x") * 0.8).alias("x"), (F.col("y") * 0.8).alias("y"), "w", "h", (1 + F.col("event_id") % 4).alias("n"))
-    lines = b.where("event_id % 6 = 1").select("page", (F.col("x") * 0.7).alias("x"), (F.col("y") * 0.8 + 0.01).alias("y"), (F.col("w") * 5).alias("w"), F.lit(0.001).alias("h"))
-    return clusters.bridge_merge(parts, lines, "page", "event_id", 0.05, 0.03, 0.003).select("event_id", "cluster")
+    parts = b.where("event_id % 3 <> 1").select("page", "event_id", (F.col("x") * 0.8).alias("x"), (F.col("y") * 0.8).alias("y"), "w", "h", (1 + F.col("event_id") % 4).alias("n"))
+    lines = b.where("event_id % 3 = 1").select("page", F.col("event_id").alias("line"), (F.col("x") * 0.7).alias("x"), (F.col("y") * 0.8 + 0.01).alias("y"), (F.col("w") * 5).alias("w"), F.lit(0.001).alias("h"))
+    return clusters.bridge_merge(parts, lines, "page", "event_id", "line", 0.05, 0.03, 0.003).select("event_id", "cluster")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -112,9 +112,7 @@ def upload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old (even) and new (odd) rows merged by day; the position shows the order."""
     rows = log(spark, sf_dir).withColumn("seq", F.col("row")).withColumn("date", F.col("day").cast("string"))
-    merged = defects.merge(rows.where("row % 2 = 0"), rows.where("row % 2 = 1"))
-    order = Window.orderBy(F.desc("header"), F.asc_nulls_last("day"), "source", "seq")
-    return merged.select("row", F.row_number().over(order).alias("position"))
+    return defects.merge(rows.where("row % 2 = 0"), rows.where("row % 2 = 1")).select("row", "position")
 
 
 @query("MU9", "SELECT o_orderkey AS was, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)::INT AS row FROM orders WHERE o_orderkey % 7 <> 0")

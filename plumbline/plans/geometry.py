@@ -11,7 +11,12 @@ from .registry import query, table
 
 #: Points of the embeddings in 0..1, on three pages.
 POINTS_SQL = "pt AS (SELECT vec_id, label, vec_id % 3 AS page, 0.5 + embedding[1]::DOUBLE / 8 AS x, 0.5 + embedding[2]::DOUBLE / 8 AS y, 0.5 + embedding[3]::DOUBLE / 8 AS u, 0.5 + embedding[4]::DOUBLE / 8 AS v FROM embeddings)"
-BOXES_SQL = "bx AS (SELECT event_id, user_id, user_id % 20 AS page, (event_id % 83) / 100.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.02 + (event_id % 7) / 100.0::DOUBLE AS w, 0.02 + (event_id % 5) / 100.0::DOUBLE AS h FROM events)"
+#: Boxes on twenty pages; BOXES_SQL on a page for each user, which has a bounded number of boxes at every scale factor.
+SHARED_SQL = "bx AS (SELECT event_id, user_id, user_id % 20 AS page, (event_id % 83) / 100.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.02 + (event_id % 7) / 100.0::DOUBLE AS w, 0.02 + (event_id % 5) / 100.0::DOUBLE AS h FROM events)"
+
+BOXES_SQL = SHARED_SQL.replace("user_id % 20 AS page", "user_id AS page")
+#: Groups of few vectors.
+GROUP = 16
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +24,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("page"), at(0).alias("x"), at(1).alias("y"), at(2).alias("u"), at(3).alias("v"))
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
+def boxes(spark: SparkSession, sf_dir: str, pages: int | None = None) -> DataFrame:
+    e, user = F.col("event_id"), F.col("user_id")
     size = lambda m: (F.lit(0.02) + (e % m) / 100.0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 20).alias("page"), ((e % 83) / 100.0).alias("x"), ((e % 79) / 100.0).alias("y"), size(7).alias("w"), size(5).alias("h"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (user % pages if pages else user).alias("page"), ((e % 83) / 100.0).alias("x"), ((e % 79) / 100.0).alias("y"), size(7).alias("w"), size(5).alias("h"))
 
 
 @query(
@@ -39,12 +44,12 @@ def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "JN13 GE4",
-    f"""WITH {BOXES_SQL}, s AS (SELECT * FROM bx WHERE user_id < 40), o AS (SELECT a.page, a.event_id AS a, b.event_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ow, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oh, a.w * a.h + b.w * b.h AS total
-      FROM s AS a JOIN s AS b ON a.page = b.page AND a.event_id < b.event_id)
+    f"""WITH {BOXES_SQL}, o AS (SELECT a.page, a.event_id AS a, b.event_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ow, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oh, a.w * a.h + b.w * b.h AS total
+      FROM bx AS a JOIN bx AS b ON a.page = b.page AND a.event_id < b.event_id)
     SELECT page, a, b, round(ow * oh / (total - ow * oh), 9) AS iou FROM o WHERE ow > 0 AND oh > 0 AND ow * oh / (total - ow * oh) >= 0.5""",
 )
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = op.overlap_pairs(boxes(spark, sf_dir).where("user_id < 40"), "event_id", "page", least_iou=0.5)
+    pairs = op.overlap_pairs(boxes(spark, sf_dir), "event_id", "page", least_iou=0.5)
     return pairs.select("page", "a", "b", F.round("iou", 9).alias("iou"))
 
 
@@ -99,28 +104,28 @@ def affine_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "GE7 AG19",
-    f"""WITH {POINTS_SQL}, r AS (SELECT a.label, sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 7 = 0 AND b.vec_id % 7 = 0 AND sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) > 1e-4 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 1e-4),
-    s AS (SELECT label, list_sort(list(r))[len(list(r)) // 2 + 1] AS s FROM r GROUP BY label), m AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM pt WHERE vec_id % 7 = 0 GROUP BY label),
-    f AS (SELECT label, n, CASE WHEN n > 1 THEN least(greatest(coalesce(s, 1), 0.25), 4) ELSE 1.0 END AS scale, x, y, u, v FROM m LEFT JOIN s USING (label)),
-    e AS (SELECT f.label, any_value(n) AS n, any_value(scale) AS scale, any_value(f.u - f.x * scale) AS dx, sqrt(avg((pt.x * scale + f.u - f.x * scale - pt.u) ** 2 + (pt.y * scale + f.v - f.y * scale - pt.v) ** 2)) AS residual FROM pt JOIN f USING (label) WHERE vec_id % 7 = 0 GROUP BY f.label)
-    SELECT label, n, round(scale, 6) AS scale, round(dx, 6) AS dx, round(residual, 6) AS residual, n >= 3 AND residual > 0.10 AS suppressed FROM e""",
+    f"""WITH {POINTS_SQL}, gp AS (SELECT *, vec_id // {GROUP} AS g FROM pt), r AS (SELECT a.g, sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS r FROM gp AS a JOIN gp AS b ON a.g = b.g AND a.vec_id < b.vec_id WHERE sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) > 1e-4 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 1e-4),
+    s AS (SELECT g, list_sort(list(r))[len(list(r)) // 2 + 1] AS s FROM r GROUP BY g), m AS (SELECT g, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM gp GROUP BY g),
+    f AS (SELECT g, n, CASE WHEN n > 1 THEN least(greatest(coalesce(s, 1), 0.25), 4) ELSE 1.0 END AS scale, x, y, u, v FROM m LEFT JOIN s USING (g)),
+    e AS (SELECT f.g, any_value(n) AS n, any_value(scale) AS scale, any_value(f.u - f.x * scale) AS dx, sqrt(avg((gp.x * scale + f.u - f.x * scale - gp.u) ** 2 + (gp.y * scale + f.v - f.y * scale - gp.v) ** 2)) AS residual FROM gp JOIN f USING (g) GROUP BY f.g)
+    SELECT g, n, round(scale, 6) AS scale, round(dx, 6) AS dx, round(residual, 6) AS residual, n >= 3 AND residual > 0.10 AS suppressed FROM e""",
 )
 def anchor_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = points(spark, sf_dir).where("vec_id % 7 = 0").select("label", "vec_id", F.col("x").alias("dx0"), F.col("y").alias("dy0"), F.col("u").alias("px0"), F.col("v").alias("py0"))
-    a = op.anchor(pairs, "label", "vec_id")
-    return a.select("label", "n", F.round("scale", 6).alias("scale"), F.round("dx", 6).alias("dx"), F.round("residual", 6).alias("residual"), "suppressed")
+    pairs = points(spark, sf_dir).select(F.expr(f"vec_id div {GROUP}").alias("g"), "vec_id", F.col("x").alias("dx0"), F.col("y").alias("dy0"), F.col("u").alias("px0"), F.col("v").alias("py0"))
+    a = op.anchor(pairs, "g", "vec_id")
+    return a.select("g", "n", F.round("scale", 6).alias("scale"), F.round("dx", 6).alias("dx"), F.round("residual", 6).alias("residual"), "suppressed")
 
 
 @query(
     "GE11",
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m FROM embeddings WHERE vec_id < 200), b AS (SELECT vec_id, label, list_transform(v, lambda x: x > m) AS bits FROM e)
-    SELECT a.vec_id AS a, c.vec_id AS b, round(list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: (a.bits[i] = c.bits[i])::INT)) / len(a.bits), 9) AS similarity FROM b AS a JOIN b AS c ON a.label = c.label AND a.vec_id < c.vec_id""",
+    f"""WITH e AS (SELECT vec_id, vec_id // {GROUP} AS g, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m FROM embeddings), b AS (SELECT vec_id, g, list_transform(v, lambda x: x > m) AS bits FROM e)
+    SELECT a.vec_id AS a, c.vec_id AS b, round(list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: (a.bits[i] = c.bits[i])::INT)) / len(a.bits), 9) AS similarity FROM b AS a JOIN b AS c ON a.g = c.g AND a.vec_id < c.vec_id""",
 )
 def ahash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash similarity of embeddings with one label."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", "label", g.average_hash(F.col("embedding")).alias("bits"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("bits").alias("other"))
-    return e.join(b, "label").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", F.round(g.hash_similarity(F.col("bits"), F.col("other")), 9).alias("similarity"))
+    """Hash similarity of the embeddings of a group."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"vec_id div {GROUP}").alias("g"), g.average_hash(F.col("embedding")).alias("bits"))
+    b = e.select(F.col("vec_id").alias("b"), "g", F.col("bits").alias("other"))
+    return e.join(b, "g").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", F.round(g.hash_similarity(F.col("bits"), F.col("other")), 9).alias("similarity"))
 
 
 @query(
@@ -148,11 +153,11 @@ def offset_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "AG23 CC3",
-    f"""WITH {BOXES_SQL}, c AS (SELECT page, unnest(range(floor(x * 20)::INT, least(19, floor((x + w) * 20)::INT) + 1)) AS c, y, h FROM bx), rc AS (SELECT page, c, unnest(range(floor(y * 20)::INT, least(19, floor((y + h) * 20)::INT) + 1)) AS r FROM c)
+    f"""WITH {SHARED_SQL}, c AS (SELECT page, unnest(range(floor(x * 20)::INT, least(19, floor((x + w) * 20)::INT) + 1)) AS c, y, h FROM bx), rc AS (SELECT page, c, unnest(range(floor(y * 20)::INT, least(19, floor((y + h) * 20)::INT) + 1)) AS r FROM c)
     SELECT page, r::INT AS r, c::INT AS c, count(*) AS n, count(*) >= 12 AS strong FROM rc GROUP BY page, r, c HAVING count(*) >= 4""",
 )
 def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.grid_density(boxes(spark, sf_dir), ["page"], 20, 20)
+    return op.grid_density(boxes(spark, sf_dir, 20), ["page"], 20, 20)
 
 
 @query("GE9", f"WITH {BOXES_SQL} SELECT event_id, x, CASE WHEN hit THEN 0.5 - x ELSE w END AS w FROM (SELECT *, 0.5 >= x AND least(x + w, 0.9) - 0.5 >= 0.15 * w AND 0.5 - x > 0 AND least(y + h, 1.0) - greatest(y, 0.0) >= 0.5 * h AS hit FROM bx)")
@@ -165,11 +170,18 @@ def code_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("was").alias("x"), F.when(inside, F.col("w")).otherwise(F.col("cut.w")).alias("w"))
 
 
-@query("JN17")
+@query(
+    "JN17",
+    f"""WITH RECURSIVE {POINTS_SQL}, a AS (SELECT vec_id // 10 AS g, vec_id, x, y, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS k FROM pt WHERE vec_id % 10 < 5), b AS (SELECT vec_id // 10 AS g, vec_id, u, v FROM pt WHERE vec_id % 10 >= 5),
+    w AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS taken, 0.0::DOUBLE AS total FROM a UNION ALL
+      SELECT w.g, a.k, list_append(w.taken, b.vec_id), w.total + sqrt((a.x - b.u) ** 2 + (a.y - b.v) ** 2) FROM w JOIN a ON a.g = w.g AND a.k = w.k + 1 JOIN b ON b.g = w.g WHERE NOT list_contains(w.taken, b.vec_id)),
+    n AS (SELECT g, max(k) AS n FROM a GROUP BY g), best AS (SELECT g, arg_min(taken, (total, taken)) AS taken FROM w JOIN n USING (g) WHERE k = n GROUP BY g)
+    SELECT a.g, a.vec_id AS i, taken[a.k] AS j FROM best JOIN a USING (g)""",
+)
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one assignment of few points: no SQL, so tests hold it against all permutations."""
-    p = points(spark, sf_dir).where("vec_id % 9 = 0").withColumn("g", F.col("label").cast("long"))
-    a = p.where("vec_id % 2 = 0").select("g", F.col("vec_id").alias("i"), "x", "y")
-    b = p.where("vec_id % 2 = 1").select("g", F.col("vec_id").alias("j"), F.col("u"), F.col("v"))
+    """The best one-to-one assignment of the first five to the last five points of every ten; its SQL tries all."""
+    p = points(spark, sf_dir).withColumn("g", F.expr("vec_id div 10"))
+    a = p.where("vec_id % 10 < 5").select("g", F.col("vec_id").alias("i"), "x", "y")
+    b = p.where("vec_id % 10 >= 5").select("g", F.col("vec_id").alias("j"), F.col("u"), F.col("v"))
     pairs = a.join(b, "g").withColumn("d", g.distance((F.col("x"), F.col("y")), (F.col("u"), F.col("v"))))
     return op.assign(pairs, "g")

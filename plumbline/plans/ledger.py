@@ -133,12 +133,15 @@ def handler_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "MU3",
-    f"""WITH {MOVES_SQL}, b AS (SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_shipdate, sum(s) OVER w AS balance FROM m WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING))
-    SELECT l_partkey, l_orderkey, l_linenumber, min(balance) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING) >= -1e-9 AS accepted FROM b""",
+    f"""WITH RECURSIVE {MOVES_SQL}, o AS MATERIALIZED (SELECT l_partkey, l_orderkey, l_linenumber, s, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate) AS k FROM m),
+    b AS (SELECT l_partkey, 0::BIGINT AS k, 0::BIGINT AS l_orderkey, 0::INT AS l_linenumber, true AS accepted, 0::DOUBLE AS stock FROM o WHERE k = 1 UNION ALL
+      SELECT o.l_partkey, o.k, o.l_orderkey, o.l_linenumber::INT, NOT (o.s < 0 AND -o.s - b.stock > 1e-9), CASE WHEN o.s < 0 AND -o.s - b.stock > 1e-9 THEN b.stock ELSE b.stock + o.s END FROM b JOIN o ON o.l_partkey = b.l_partkey AND o.k = b.k + 1)
+    SELECT l_partkey, l_orderkey, l_linenumber, accepted, round(stock, 6) AS stock FROM b WHERE k > 0""",
 )
 def stock_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each movement leaves no negative stock."""
-    return ledger.guard(moves(spark, sf_dir), "l_partkey", ORDER).select("l_partkey", *ID, "accepted")
+    """Which movements are booked when nothing may go out that isn't there, and the stock after each."""
+    booked = ledger.guard(moves(spark, sf_dir), "l_partkey", ORDER)
+    return booked.select("l_partkey", *ID, "accepted", F.round("balance", 6).alias("stock"))
 
 
 @query(

@@ -28,7 +28,11 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k > 50, k % 60 + 1).alias("parent"), (F.col("p_size") % 5 > 0).alias("active"), "p_brand", "p_type")
 
 
-@query("FLT6 JN4", f"WITH {TREE_SQL} SELECT a.id, a.active AND coalesce(b.active, true) AND coalesce(c.active, true) AS effective FROM tr AS a LEFT JOIN tr AS b ON b.id = a.parent LEFT JOIN tr AS c ON c.id = b.parent")
+@query(
+    "FLT6 JN4",
+    f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT id, active AS ok, parent FROM tr UNION ALL SELECT up.id, coalesce(tr.active, false), tr.parent FROM up LEFT JOIN tr ON tr.id = up.parent WHERE up.parent IS NOT NULL)
+    SELECT id, bool_and(ok) AS effective FROM up GROUP BY id""",
+)
 def effective_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.effectively_active(tree(spark, sf_dir), "id", "parent", "active").select("id", "effective")
 
@@ -56,11 +60,11 @@ def distinct_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WN5",
-    """WITH w AS (SELECT unnest(['red anvil', 'smal', 'blue', 'nothing']) AS wanted), c AS (SELECT wanted, p_name AS found, p_partkey AS id, CASE WHEN p_name = wanted THEN 0 ELSE 1 END AS tier FROM w JOIN part ON starts_with(p_name, wanted)),
+    """WITH w AS (SELECT unnest(['red anvil', 'smal', 'blue', 'nothing', 're', 'l']) AS wanted), c AS (SELECT wanted, p_name AS found, p_partkey AS id, CASE WHEN p_name = wanted THEN 0 ELSE 1 END AS tier FROM w JOIN part ON starts_with(p_name, wanted)),
     r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY tier, id DESC) AS r FROM c) SELECT wanted, found, id, tier FROM r WHERE r = 1""",
 )
 def latest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.sql("SELECT explode(array('red anvil', 'smal', 'blue', 'nothing')) AS wanted")
+    wanted = spark.sql("SELECT explode(array('red anvil', 'smal', 'blue', 'nothing', 're', 'l')) AS wanted")
     return store.latest_profile(table(spark, sf_dir, "part"), wanted, "p_name", "p_partkey")
 
 

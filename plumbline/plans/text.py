@@ -178,7 +178,7 @@ def material_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SF21 WN10",
-    """WITH g AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS names FROM part WHERE p_size = 7 GROUP BY p_brand),
+    """WITH g AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS names FROM part GROUP BY p_brand),
     c AS (SELECT p_brand, list_transform(names, lambda n: CASE WHEN length(n) <= 40 THEN n ELSE substr(n, 1, 39) || '…' END) AS names FROM g),
     k AS (SELECT p_brand, names, len(list_filter(range(1, len(names) + 1), lambda i: length(array_to_string(names[1:i], '｜')) <= 112)) AS n FROM c)
     SELECT p_brand, array_to_string(names[1:n], '｜') AS name FROM k""",
@@ -186,7 +186,7 @@ def material_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a group joined in order within a budget."""
     names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
-    return table(spark, sf_dir, "part").where("p_size = 7").groupBy("p_brand").agg(names.alias("names")).select("p_brand", t.build_name(F.col("names")).alias("name"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("names")).select("p_brand", t.build_name(F.col("names")).alias("name"))
 
 
 @query("V14", "SELECT * FROM (VALUES (1, 'Nameplate'), (2, 'TopView'), (3, 'QrFace'), (4, 'Back'), (5, 'Front'), (6, 'Side'), (7, 'Unspecified'), (8, 'PcbBoard')) AS t(id, hint)")

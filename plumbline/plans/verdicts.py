@@ -92,21 +92,22 @@ def verify_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("l_orderkey", "l_linenumber", "l_extendedprice", "type", "state", F.floor(F.col("confidence") * 10 + 1e-6).alias("tenths"))
 
 
-@query("V11", "SELECT event_id, (event_id % 83) / 100.0 + 0.05 BETWEEN 0.14 AND 0.56 AND (event_id % 79) / 100.0 + 0.05 BETWEEN 0.24 AND 0.66 AS covered FROM (SELECT event_id FROM events WHERE event_id % 83 NOT IN (9, 51) AND event_id % 79 NOT IN (19, 61))")
+@query("V11", "SELECT event_id, (event_id % 83) / 64.0::DOUBLE + 0.0625 BETWEEN 0.1875 - 0.06::DOUBLE AND 0.1875 + 0.3125 + 0.06::DOUBLE AND (event_id % 79) / 64.0::DOUBLE + 0.0625 BETWEEN 0.3125 - 0.06::DOUBLE AND 0.3125 + 0.25 + 0.06::DOUBLE AS covered FROM events")
 def part_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 83 NOT IN (9, 51) AND event_id % 79 NOT IN (19, 61)")
-    box = g.Box((F.col("event_id") % 83) / 100.0, (F.col("event_id") % 79) / 100.0, F.lit(0.1), F.lit(0.1))
-    return e.select("event_id", verdicts.covered(box, g.Box(*map(F.lit, (0.2, 0.3, 0.3, 0.3)))).alias("covered"))
+    """Boxes at multiples of 1/64, which are exact, against a subject."""
+    e = F.col("event_id")
+    box = g.Box((e % 83) / 64.0, (e % 79) / 64.0, F.lit(0.125), F.lit(0.125))
+    return table(spark, sf_dir, "events").select("event_id", verdicts.covered(box, g.Box(*map(F.lit, (0.1875, 0.3125, 0.3125, 0.25)))).alias("covered"))
 
 
 @query(
     "V10",
-    """WITH p AS (SELECT event_id, user_id, (event_id % 83) / 100.0::DOUBLE AS cx, (event_id % 79) / 100.0::DOUBLE AS cy, event_id % 2 AS side FROM events WHERE event_id % 15 < 2)
+    """WITH p AS (SELECT event_id, user_id, (event_id % 83) / 100.0::DOUBLE AS cx, (event_id % 79) / 100.0::DOUBLE AS cy, event_id % 2 AS side FROM events)
     SELECT a.event_id, 'Extra' AS state, 0.40::DOUBLE AS confidence FROM p AS a WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM p AS m WHERE m.side = 1 AND m.user_id = a.user_id AND sqrt((a.cx - m.cx) ** 2 + (a.cy - m.cy) ** 2) <= 0.2)""",
 )
 def undeclared_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    p = table(spark, sf_dir, "events").where("event_id % 15 < 2").select("event_id", "user_id", ((e % 83) / 100.0).alias("cx"), ((e % 79) / 100.0).alias("cy"), (e % 2).alias("side"))
+    p = table(spark, sf_dir, "events").select("event_id", "user_id", ((e % 83) / 100.0).alias("cx"), ((e % 79) / 100.0).alias("cy"), (e % 2).alias("side"))
     return verdicts.undeclared_codes(p.where("side = 0"), p.where("side = 1"), "user_id").select("event_id", "state", "confidence")
 
 

@@ -63,6 +63,63 @@ def test_missing_elements_are_placed_by_the_found_ones(spark):
     assert got == {(1, 9): (0.45, 0.3, "L2"), (2, 3): (0.45, 0.3, "L1")}
 
 
+def test_components_of_an_ascending_path_take_few_rounds(spark, monkeypatch):
+    from plumbline.operators import components
+    from plumbline.session import Scratch
+
+    edges = spark.range(4999).selectExpr("id AS a", "id + 1 AS b").union(spark.range(6000, 6100).selectExpr("6000L AS a", "id AS b"))
+    scratch = Scratch(spark)
+    found = components.components(edges, scratch)
+    assert sorted(found.groupBy("root").count().toPandas()["count"]) == [100, 5000]
+    assert len(scratch.paths) <= 70  # about two tables a round, and the merged ones
+    scratch.clear()
+
+
+def test_nothing_goes_out_that_is_not_there(spark):
+    from plumbline.operators import ledger
+
+    rows = [("a", 1, "out", 5.0), ("a", 2, "in", 10.0), ("a", 3, "out", 4.0), ("a", 4, "out", 7.0), ("a", 5, "out", 6.0), ("b", 1, "in", None), ("b", 2, "out", 1e-10), (None, 1, "in", 2.0), (None, 2, "out", 3.0)]
+    got = ledger.guard(spark.createDataFrame(rows, "m string, k int, direction string, qty double"), "m", ["k"]).collect()
+    assert {(r.m, r.k): (r.accepted, round(r.balance, 6)) for r in got} == {
+        ("a", 1): (False, 0.0), ("a", 2): (True, 10.0), ("a", 3): (True, 6.0), ("a", 4): (False, 6.0), ("a", 5): (True, 0.0), ("b", 1): (True, 0.0), ("b", 2): (True, 0.0), (None, 1): (True, 2.0), (None, 2): (False, 2.0)
+    }
+    assert ledger.guard(spark.createDataFrame([], "m string, k int, direction string, qty double"), "m", ["k"]).count() == 0
+
+
+def test_ancestors_of_any_depth_and_short_keys(spark):
+    from plumbline.operators import store
+
+    nodes = spark.createDataFrame([(k, k - 1 if k else None, k != 7) for k in range(40)] + [(90, 91, True), (95, None, True)], "id long, up long, active boolean")
+    assert {r.id for r in store.effectively_active(nodes, "id", "up", "active").where("effective").collect()} == {*range(7), 95}
+    with pytest.raises(ValueError, match="cycle"):
+        store.effectively_active(spark.createDataFrame([(1, 2, True), (2, 1, True)], "id long, up long, active boolean"), "id", "up", "active")
+    profiles = spark.createDataFrame([(1, "ABCDEF"), (2, "ABX"), (3, "AB C")], "id long, k string")
+    wanted = spark.createDataFrame([("AB",), ("ABX",), ("Z",)], "wanted string")
+    assert {r.wanted: (r.found, r.id, r.tier) for r in store.latest_profile(profiles, wanted, "k", "id").collect()} == {"AB": ("AB C", 3, 1), "ABX": ("ABX", 2, 0)}
+
+
+def test_clauses_of_many_items_lose_none(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions.text import clause_items
+
+    clause = "x:" + ";".join(f"{k % 99 + 1}、item {k}" for k in range(1500))
+    assert spark.range(1).select(F.size(clause_items(F.lit(clause))).alias("n")).first().n == 1500
+
+
+def test_contained_texts_equal_brute_force(spark):
+    import random
+
+    from plumbline.operators.matching import contains_join
+
+    random.seed(1)
+    hosts = [(k, "".join(random.choices("ab c,é\n", k=random.randint(0, 40)))) for k in range(150)] + [(900, None)]
+    needles = [(k, "".join(random.choices("ab c,é", k=random.randint(0, 7)))) for k in range(150)] + [(900, None)]
+    h, n = spark.createDataFrame(hosts, "h long, text string"), spark.createDataFrame(needles, "n long, needle string")
+    got = [(r.h, r.n) for r in contains_join(h, n, "text", "needle", "h", "n", least=3).collect()]
+    assert sorted(got) == sorted((a, b) for a, t in hosts for b, s in needles if t and s and len(s) >= 3 and s in t)
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.SQL)):
         assert registry.QUERIES[name](spark, SF).count() >= 0
