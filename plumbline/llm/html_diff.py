@@ -1,12 +1,16 @@
-"""Main text of web pages: structure, and differencing against the page with the nearest URL.
+"""Main text of web pages: nearest-URL differencing, with the page's own marks of what is article and what isn't.
 
-A page is cut into text lines, one for each block element. Where the page marks its article (article, main), the
-article's lines are the main text, without the menus, notices and so on inside it. Where it doesn't, pages are sorted by
-host and URL path, each is paired with the neighbour whose path is nearer, their lines are aligned by longest common
-subsequence, and the lines they share are deleted: what pages of a site have in common isn't any page's text.
+A page is cut into text lines, one for each block element. Pages are sorted by host, URL path and id; each is paired with
+the neighbour whose path is nearer, the pair's lines are aligned by longest common subsequence, and lines they share are
+deleted: what pages of a site have in common isn't any page's text.
 
-Differencing is not applied to marked articles: two pages of a host may hold copies of one article or quote the same
-lines, and deleting these would lose article text.
+A line is known by its text. A line inside an element that the page marks as menu, advert, footer and so on is known by its
+place instead, the names and classes of the elements around it, so menus with words of their own align as well. Shared
+lines inside a marked article stay: neighbours may hold copies of one article or quote the same passage. What alignment
+leaves of marked menus and the like goes in the end, and of a page that marks its article all that lies outside it.
+
+A host of many pages is split by path into chunks, each with copies of the pages before and after it, so that neighbours
+don't depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, schema_with
+from ..session import written
+from .common import bounded_batches, schema_with
 from .url_filter import host_of, path_of
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 # Element names of HTML, by their part in a page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -40,8 +46,13 @@ SKIPPED_WORDS = frozenset(
     " breadcrumb breadcrumbs comment comments commentlist respond disqus footer masthead share sharing social related newsletter subscribe popup modal toolbar pagination pager skip".split()
 )
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Lines that one page is aligned by; both pages' shared start and end are cut off before.
-ALIGN_CELLS = 4_000_000
+#: Pages in a chunk of a host; more where all pages would make more than CHUNKS chunks.
+CHUNK_PAGES = 256
+CHUNKS = 10_000
+#: Pages in an output batch.
+OUT_ROWS = 256
+# What a line is part of.
+HIDDEN, PLAIN, ARTICLE = 0, 1, 2
 
 
 def _skips(name: str, attributes: str, in_main: bool) -> bool:
@@ -60,25 +71,43 @@ def _skips(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def page_lines(source: str) -> tuple[list[str], bool]:
-    """The text lines of a page without skipped parts, and whether they are those of a marked article."""
-    lines: list[tuple[bool, str]] = []
+def page_lines(source: str) -> list[tuple[int, object, str]]:
+    """The lines of a page in order: what each is part of, what it is known by, and its text (none if hidden)."""
+    lines: list[tuple[int, object, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is skipped
+    hidden = False  # whether skipped text stands before the next break
+    stack: list[tuple[str, bool, int]] = []  # open elements, whether each is skipped, and a number for the path to it
+    open_names: dict[str, int] = {}
     skipped = main = 0
 
     def flush() -> None:
-        line = SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if line:
-            lines.append((main > 0, line))
+        nonlocal hidden
+        if not skipped:
+            line = SPACE.sub(" ", "".join(parts)).strip()
+            parts.clear()
+            if line:
+                lines.append((ARTICLE if main else PLAIN, line, line))
+        if hidden:
+            lines.append((HIDDEN, stack[-1][2] if stack else 0, ""))
+            hidden = False
+
+    def pop() -> str:
+        nonlocal skipped, main
+        e, s, _ = stack.pop()
+        open_names[e] -= 1
+        skipped -= s
+        main -= e in MAIN and not s and not skipped
+        return e
 
     at, n = 0, len(source)
     while at < n:
         m = TAG.search(source, at)
         end = m.start() if m else n
-        if end > at and not skipped:
-            parts.append(entities.unescape(source[at:end]))
+        if end > at:
+            if skipped:
+                hidden = hidden or not source[at:end].isspace()
+            else:
+                parts.append(entities.unescape(source[at:end]))
         if not m:
             break
         at = m.end()
@@ -86,18 +115,15 @@ def page_lines(source: str) -> tuple[list[str], bool]:
             continue
         name = m[2].lower()
         if name == "br":
-            parts.append("\n")
+            if not skipped:
+                parts.append("\n")
             continue
-        if name in BLOCK and not skipped:
+        if name in BLOCK:
             flush()
         if m[1]:
-            if any(e == name for e, _ in stack):
-                while True:
-                    e, s = stack.pop()
-                    skipped -= s
-                    main -= e in MAIN and not s and not skipped
-                    if e == name:
-                        break
+            if open_names.get(name):
+                while pop() != name:
+                    pass
         elif name not in VOID and not m[3].endswith("/"):
             s = bool(skipped) or _skips(name, m[3], main > 0)
             if name in RAW:
@@ -106,128 +132,177 @@ def page_lines(source: str) -> tuple[list[str], bool]:
                     parts.append(entities.unescape(source[at : close.start() if close else n]) if name in ("textarea", "title") else "")
                 at = close.end() if close else n
                 continue
-            if name == "p" and not skipped:
-                _close_paragraph(stack)
-            stack.append((name, s))
+            if name == "p" and not skipped and open_names.get("p"):
+                for _ in range(_paragraph(stack)):
+                    pop()
+            stack.append((name, s, hash((stack[-1][2] if stack else 0, name, _class(m[3])))))
+            open_names[name] = open_names.get(name, 0) + 1
             skipped += s
             main += name in MAIN and not s
-    if not skipped:
-        flush()
-    marked = [line for inside, line in lines if inside]
-    return (marked, True) if marked else ([line for _, line in lines], False)
+    while stack and skipped:
+        pop()
+    flush()
+    return lines
+
 
+def _class(attributes: str) -> str:
+    found = CLASS.search(attributes) if attributes else None
+    return found[0] if found else ""
 
-def _close_paragraph(stack: list[tuple[str, bool]]) -> None:
-    """A paragraph ends where the next begins; elements left open in it end too, unless they hold other blocks."""
+
+def _paragraph(stack: list[tuple[str, bool, int]]) -> int:
+    """How many open elements end where a paragraph begins: an open paragraph and what is left open in it, unless other
+    blocks or skipped elements are."""
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == "p":
-            if not any(s for _, s in stack[k:]):
-                del stack[k:]
-            return
+            return 0 if any(s for _, s, _ in stack[k:]) else len(stack) - k
         if stack[k][0] in BLOCK:
-            return
+            return 0
+    return 0
 
 
-def _shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of longest common subsequences of a and each start of b (len(b) + 1 numbers), in memory linear in b."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
+def _row(a: list, b: list) -> np.ndarray:
+    """Lengths of longest common subsequences of a and each start of b: len(b) + 1 numbers, from one bit row of b."""
+    place: dict[object, int] = {}
+    for k, x in enumerate(b):
+        place[x] = place.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return row
+        u = row & place.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+    bits = np.unpackbits(np.frombuffer((full & ~row).to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
 
 
-def unshared(lines: list[str], other: list[str]) -> list[str]:
-    """lines without those of a longest common subsequence with other, found by rows of a bit-free dynamic programme.
+def shared(a: list, b: list) -> set[int]:
+    """The places in a of a longest common subsequence of a and b, in memory linear in both.
 
-    Shared starts and ends are cut off first. A table of more than ALIGN_CELLS cells isn't held: lines are halved, other is
-    cut where both halves share most (Hirschberg), and the parts are aligned by themselves, which is exact as well.
+    Shared starts and ends and what only one side has are set aside first. Then a is halved, b is cut where both halves
+    have most in common (Hirschberg's algorithm), and so on down to single lines.
     """
     head = 0
-    while head < min(len(lines), len(other)) and lines[head] == other[head]:
+    while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
-    while tail < min(len(lines), len(other)) - head and lines[-1 - tail] == other[-1 - tail]:
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    a, b = lines[head : len(lines) - tail], other[head : len(other) - tail]
-    if not a or not b:
-        return a
-    number = {line: k for k, line in enumerate(dict.fromkeys(b))}
-    if len(a) * len(b) > ALIGN_CELLS:
-        if len(a) == 1:
-            return [] if a[0] in number else a
-        left, right = (np.array([number.get(line, -1) for line in x]) for x in (a, b))
-        k = len(a) // 2
-        j = int(np.argmax(_shared_counts(left[:k], right) + _shared_counts(left[:k - 1 : -1], right[::-1])[::-1]))
-        return unshared(a[:k], b[:j]) + unshared(a[k:], b[j:])
-    right = np.array([number[line] for line in b])
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        hit = np.where(right == number.get(a[i], -1), table[i + 1, 1:] + 1, 0)
-        best = np.maximum(table[i + 1, :-1], hit)
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    kept, j = [], 0
-    for i, line in enumerate(a):
-        hit = np.flatnonzero(right[j:] == number.get(line, -1))
-        if len(hit) and table[i + 1, j + hit[0] + 1] + 1 >= table[i, j] and table[i, j] > table[i + 1, j]:
-            j += int(hit[0]) + 1
-        elif len(hit) and table[i + 1, j + hit[0] + 1] + 1 == table[i, j]:
-            j += int(hit[0]) + 1
-        else:
-            kept.append(line)
-    return kept
-
-
-MARKED = r"(?i)<(article|main)[\s/>]"
+    found = {*range(head), *range(len(a) - tail, len(a))}
+    only = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    left = [k for k in range(head, len(a) - tail) if a[k] in only]
+    todo = [(left, [x for x in b[head : len(b) - tail] if x in only])]
+    while todo:
+        places, other = todo.pop()
+        if not places or not other:
+            continue
+        if len(places) == 1:
+            found.update(places if a[places[0]] in other else ())
+            continue
+        k = len(places) // 2
+        first, second = places[:k], places[k:]
+        j = int(np.argmax(_row([a[p] for p in first], other) + _row([a[p] for p in reversed(second)], other[::-1])[::-1]))
+        todo += [(first, other[:j]), (second, other[j:])]
+    return found
+
+
+def main_text(page: list[tuple[int, object, str]], other: list[tuple[int, object, str]] | None) -> list[str]:
+    """The texts of page's lines without those shared with other, which is the page nearest to it, if there is one."""
+    gone = shared([key for _, key, _ in page], [key for _, key, _ in other]) if other else set()
+    marked = any(part == ARTICLE for part, _, _ in page)
+    return [text for k, (part, _, text) in enumerate(page) if part == ARTICLE or (part == PLAIN and not marked and k not in gone)]
+
+
+def _texts(page: list[tuple[int, object, str]]) -> list[str]:
+    return [text for part, _, text in page if part != HIDDEN]
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """rows (page_id, host, path, ...) with chunk and guest: hosts of many pages are split by (path, page_id).
+
+    A page at a chunk's edge also appears in the chunk beyond, as a guest. Only URLs and ids are read to find where to
+    cut: the cuts come from a sample and decide nothing but the chunks' sizes.
+    """
+    light = rows.select("host", F.struct("path", "page_id").alias("at"))
+    total = rows.sparkSession.createDataFrame([], "n long") if rows.isEmpty() else light.agg(F.count(F.lit(1)).alias("n"))
+    size = F.greatest(F.lit(CHUNK_PAGES), F.ceil(F.col("total") / CHUNKS))
+    large = light.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total.withColumnRenamed("n", "total"))).where((F.col("n") > 2 * size) & (F.col("host") != ""))
+    large = large.select("host", F.ceil(F.col("n") / size).alias("chunks"), F.greatest(F.lit(1), F.floor(size / 16)).alias("step"))
+    sample = light.join(large, "host").where(F.pmod(F.xxhash64("at"), F.col("step")) == 0)
+    ordered = F.array_sort(F.collect_set("at"))
+    picked = sample.groupBy("host", "chunks").agg(ordered.alias("s"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.col("chunks") - 1, F.lit(1))), lambda k: F.get("s", F.floor(k * F.size("s") / F.col("chunks")).cast("int")))
+    cuts = written(picked.select("host", F.array_distinct(F.filter(cuts, F.isnotnull)).alias("cuts")), "cuts")
+
+    def chunk(df: DataFrame, at: Column) -> DataFrame:
+        return df.join(cuts, "host", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))).drop("cuts")
+
+    split = chunk(light.join(cuts.select("host"), "host", "left_semi"), F.col("at"))
+    ends = split.groupBy("host", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    w = Window.partitionBy("host").orderBy("chunk")
+    ends = ends.select("host", "chunk", F.when(F.lag("chunk").over(w).isNotNull(), F.struct(F.col("first").alias("at"), F.lag("chunk").over(w).alias("to"))).alias("back"), F.when(F.lead("chunk").over(w).isNotNull(), F.struct(F.col("last").alias("at"), F.lead("chunk").over(w).alias("to"))).alias("forth"))
+    ends = ends.select("host", F.explode(F.array_compact(F.array("back", "forth"))).alias("e")).select("host", "e.at.path", "e.at.page_id", "e.to")
+    guests = written(ends, "edges")
+    placed = chunk(rows, F.struct("path", "page_id"))
+    edge = (rows["host"] == guests["host"]) & rows["path"].eqNullSafe(guests["path"]) & rows["page_id"].eqNullSafe(guests["page_id"])
+    copies = rows.join(guests, edge).select(*(rows[c] for c in rows.columns), F.col("to").alias("chunk"), F.lit(True).alias("guest"))
+    return placed.select(*rows.columns, "chunk", F.lit(False).alias("guest")).unionByName(copies)
 
 
 def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text (lines joined by an empty line), and n_chars, its code points.
 
     Character references are decoded, white space inside a block is one space. A null, empty or text-free page has an
-    empty text. Pages without a marked article are compared with their neighbour in the order of host, path and page_id
-    within their task's range of URLs, the one of the same host that shares more of the path's start (the earlier one of
-    equal ones); a host's only page keeps all its lines. A page whose only article tag is in a comment or a script isn't
-    compared. Repeated rows stay; of two equal rows without an article, all lines are shared and go.
+    empty text. A page's neighbours are the pages before and after it in the order of host, path, page_id and html; the one
+    that shares more of the path's start is its partner (the earlier one of equal ones). A neighbour with the same texts is
+    a copy and no partner, so repeated rows keep their text. Pages without a host, and a host's only page, have no partner
+    and lose only what their marks say. How rows are dealt out changes nothing.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     schema = schema_with(rows.select("page_id", "url"), "text string, n_chars long")
 
-    def finished(ids: list, urls: list, texts: list[list[str]]) -> pa.RecordBatch:
-        joined = ["\n\n".join(t) for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa_type), pa.array(urls, pa.string()), pa.array(joined, pa.string()), pa.array([len(t) for t in joined], pa.int64())], names=schema.names)
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: list[tuple] = []  # the last two pages: id, url, where (host and chunk), path, guest, lines
+        done: list[tuple] = []
+        kinds: list[pa.DataType] = []
 
-    pa_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)["page_id"]]
+        def judge(before: tuple | None, page: tuple, after: tuple | None) -> None:
+            if not page[4]:
+                text = "\n\n".join(main_text(page[5], _partner(before, page, after)))
+                done.append((page[0], page[1], text, len(text)))
 
-    def alone(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            yield finished(part.column(0).to_pylist(), part.column(1).to_pylist(), [page_lines(h)[0] for h in part.column(2).to_pylist()])
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []  # the last two pages: id, url, host, path, lines
         for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64()]
             for k in range(batch.num_rows):
-                i, u, host, path, h = (c[k].as_py() for c in batch.columns)
-                window.append((i, u, host, path, page_lines(h)[0]))
+                i, u, host, chunk, path, guest, source = (c[k].as_py() for c in batch.columns)
+                window.append((i, u, (host, chunk) if host else None, path, guest, page_lines(source)))
                 if len(window) > 1:
-                    page = window[-2]
-                    yield finished([page[0]], [page[1]], [_differenced(window[-3] if len(window) > 2 else None, page, window[-1])])
+                    judge(window[-3] if len(window) > 2 else None, window[-2], window[-1])
                     window = window[-2:]
+                if len(done) >= OUT_ROWS:
+                    yield flush()
         if window:
-            page = window[-1]
-            yield finished([page[0]], [page[1]], [_differenced(window[-2] if len(window) > 1 else None, page, None)])
+            judge(window[-2] if len(window) > 1 else None, window[-1], None)
+        if done:
+            yield flush()
 
-    marked = F.col("html").rlike(MARKED)
-    located = rows.where(~marked).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    ordered = located.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "html")
-    return map_batches(rows.where(marked), alone, schema).unionAll(ordered.mapInArrow(paired, schema))
+    located = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    order = ["host", "chunk", "path", "page_id", F.xxhash64("html"), "html"]
+    dealt = _chunked(located).select("page_id", "url", "host", "chunk", "path", "guest", "html")
+    # pages without a host have no neighbours: their ids spread them
+    spread = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id", "url"), F.lit(CHUNKS))).otherwise(F.col("chunk"))
+    return bounded_batches(dealt).repartition("host", spread).sortWithinPartitions(*order).mapInArrow(paired, schema)
 
 
-def _differenced(before: tuple | None, page: tuple, after: tuple | None) -> list[str]:
-    """The page's lines without those that it shares with the nearer neighbour of its host."""
+def _partner(before: tuple | None, page: tuple, after: tuple | None) -> list[tuple[int, object, str]] | None:
+    """The lines of the nearer neighbour of the page's host that isn't a copy of it."""
 
     def near(other: tuple | None) -> int:
-        if other is None or other[2] != page[2] or not page[2]:
+        if other is None or other[2] != page[2] or page[2] is None or _texts(other[5]) == _texts(page[5]):
             return -1
         n = 0
         while n < min(len(other[3]), len(page[3])) and other[3][n] == page[3][n]:
@@ -236,5 +311,5 @@ def _differenced(before: tuple | None, page: tuple, after: tuple | None) -> list
 
     first, second = near(before), near(after)
     if max(first, second) < 0:
-        return page[4]
-    return unshared(page[4], (before if first >= second else after)[4])
+        return None
+    return (before if first >= second else after)[5]

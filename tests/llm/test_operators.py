@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -451,35 +452,100 @@ PAGE = "<html><head><title>T</title><script>var t='</p>';</script></head><body><
 
 def test_marked_articles():
     source = PAGE % "<article><h1>A &amp; B</h1><p>one <b>two<br>three<p>four&nbsp; five<!-- x --><aside>side</aside><div class='comments'>c</div><form>f</form></article>"
-    assert html_diff.page_lines(source) == (["A & B", "one two three", "four five"], True)
-    assert html_diff.page_lines("") == ([], False)
+    lines = html_diff.page_lines(source)
+    assert [text for part, _, text in lines if part == html_diff.ARTICLE] == ["A & B", "one two three", "four five"]
+    assert [part for part, _, _ in lines].count(html_diff.HIDDEN) == 6
+    assert html_diff.main_text(lines, None) == html_diff.main_text(lines, lines) == ["A & B", "one two three", "four five"]
+    assert html_diff.page_lines("") == []
 
 
-def test_lines_of_neighbours_are_deleted(spark):
-    rows = [(1, "http://h/a/1", "<div>site</div><div>first</div>"), (2, "http://h/a/2", "<div>site</div><div>second</div>"), (3, "http://other/", "<p>alone"), (4, None, None), (5, "http://h/z", PAGE % "<article><p>site</article>")]
-    got = {r.page_id: r.text for r in html_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
-    assert got == {1: "first", 2: "second", 3: "alone", 4: "", 5: "site"}
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
 
 
-def test_unshared_is_what_a_longest_common_subsequence_leaves():
+def test_lines_of_neighbours_are_deleted(spark):
+    rows = [(1, "http://h/a/1", "<div>site</div><div>first</div>"), (2, "http://h/a/2", "<div>site</div><div>second</div>"), (3, "http://other/", "<p>alone"), (4, None, None), (5, "http://h/z", PAGE % "<article><p>site</article>")]
+    rows += [(6, "http://m/1", "<!-- <article> --><div>top</div><p>six"), (7, "http://m/2", "<div>top</div><main><p>top</main>"), (8, "http://c/1", "<p>copy"), (8, "http://c/1", "<p>copy"), (None, "http://c/2", "<p>copy")]
+    got = collections.Counter((r.page_id, r.text, r.n_chars) for r in html_diff.extract_text(pages_of(spark, rows)).collect())
+    want = {(1, "first", 5): 1, (2, "second", 6): 1, (3, "alone", 5): 1, (4, "", 0): 1, (5, "site", 4): 1, (6, "six", 3): 1, (7, "top", 3): 1, (8, "copy", 4): 2, (None, "copy", 4): 1}
+    assert got == want
+    assert html_diff.extract_text(pages_of(spark, rows).limit(0)).count() == 0
+    by_name = spark.createDataFrame([("x", "http://h/1", "<p>a<p>b"), ("y", "http://h/2", "<p>a<p>c")], "page_id string, url string, html string")
+    assert {r.page_id: r.text for r in html_diff.extract_text(by_name).collect()} == {"x": "b", "y": "c"}
+
+
+def brute_extract(rows):
+    """All pages in one list, each against its neighbours, aligned by the textbook table."""
+    located = []
+    for i, u, h in rows:
+        rest = (u or "").split("://", 1)
+        m = re.match(r"([^/?#]*)([^?#]*)", rest[1]) if len(rest) > 1 else None
+        located.append(((m[1].lower(), m[2]) if m else ("", ""), i, u, h or ""))
+    located.sort(key=lambda r: (r[0][0].encode(), r[0][1].encode(), (r[1] is not None, r[1] or 0), r[3]))
+    lines = [html_diff.page_lines(r[3]) for r in located]
+    texts = [[t for p, _, t in x if p] for x in lines]
+    out = []
+    for k, ((host, path), i, _, _) in enumerate(located):
+        best = None
+        for j in (k - 1, k + 1):
+            if 0 <= j < len(located) and host and located[j][0][0] == host and texts[j] != texts[k]:
+                n = len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(path, located[j][0][1]))))
+                best = max(best or (-1, 0, 0), (n, -j, j))
+        a, b = [x[1] for x in lines[k]], [x[1] for x in lines[best[2]]] if best else []
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+        marked = any(p == 2 for p, _, _ in lines[k])
+        out.append((i, marked, len(a) - table[-1][-1], len(texts[k]), [t for p, _, t in lines[k] if p == 2]))
+    return out
+
+
+@pytest.mark.parametrize(("parts", "chunk"), [(1, 256), (4, 2), (211, 3)])
+def test_pages_equal_brute_force_however_they_are_dealt_out(spark, monkeypatch, parts, chunk):
+    random.seed(12)
+    monkeypatch.setattr(html_diff, "CHUNK_PAGES", chunk)
+    rows = [(k, f"http://{random.choice(['big', 'big', 'x', 'y'])}.test/{random.choice('ab')}/{random.randrange(40)}", "".join(f"<p>{random.choice('stuvw')}{random.choice(['', k])}" for _ in range(random.randint(0, 6)))) for k in range(120)]
+    rows += [(500 + k, f"http://big.test/a/{k}", PAGE % f"<article><p>s<p>{k}</article>") for k in range(20)] + [(7, None, "<p>s"), (None, "http://x.test/a/1", "<p>s<p>t")]
+    got = {r.page_id: r.text for r in html_diff.extract_text(pages_of(spark, rows).repartition(parts)).collect()}
+    assert len(got) == len(rows) - 1  # page 7 twice
+    for i, marked, left, total, article in brute_extract([r for r in rows if r != (7, None, "<p>s")]):
+        kept = got[i].split("\n\n") if got[i] else []
+        if marked:
+            assert kept == article
+        elif i != 7:
+            assert len(kept) == left, i
+
+
+def test_whole_table_of_pages_equals_one_page_after_another(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in queries.op9_html_extraction(spark, SF).collect()}
+    want = {i: "\n\n".join(article) for i, marked, _, _, article in brute_extract(rows) if marked}
+    assert {i: got[i] for i in want} == want and len(got) == len(rows)
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
     random.seed(7)
     for _ in range(500):
-        a, b = (random.choices("abcd", k=random.randint(0, 10)) for _ in "ab")
+        a, b = (random.choices("abcd", k=random.randint(0, 14)) for _ in "ab")
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert len(html_diff.unshared(a, b)) == len(a) - table[-1][-1]
+        places = html_diff.shared(a, b)
+        rest = iter(b)
+        assert len(places) == table[-1][-1] and all(a[k] in rest for k in sorted(places))
+    one, two = ([f"{c}{k}" for k in range(n)] for c, n in (("a", 1500), ("b", 1499)))
+    whole = [*one, "M", *two, "x"]
+    assert [x for k, x in enumerate(whole) if k not in html_diff.shared(whole, ["M", *one, *two, "y"])] == ["M", "x"]
 
 
-def test_unshared_of_long_pages_is_exact_too(monkeypatch):
-    random.seed(10)
-    one, two = ([f"{c}{k}" for k in range(n)] for c, n in (("a", 1500), ("b", 1499)))
-    assert html_diff.unshared([*one, "M", *two, "x"], ["M", *one, *two, "y"]) == ["M", "x"]
-    pairs = [[random.choices("abcdef", k=random.randint(0, 14)) for _ in "ab"] for _ in range(500)]
-    lengths = [len(html_diff.unshared(a, b)) for a, b in pairs]
-    monkeypatch.setattr(html_diff, "ALIGN_CELLS", 3)
-    assert [len(html_diff.unshared(a, b)) for a, b in pairs] == lengths
+def test_long_and_broken_pages_take_linear_time():
+    began = time.monotonic()
+    for source in ("<b>" * 50_000 + "x" + "</i>" * 50_000, "<p><b>" * 30_000, "<div class='" * 20_000, "<p>line</p>" * 50_000, "<" * 100_000):
+        lines = html_diff.page_lines(source)
+        html_diff.main_text(lines, lines[1:])
+    assert time.monotonic() - began < 60
 
 
 # --- pipeline
