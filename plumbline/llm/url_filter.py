@@ -74,11 +74,10 @@ def path_of(url: Column) -> Column:
 def buckets(host: Column, path: Column) -> Column:
     """Buckets of the n-grams of "^host/path$", one for each occurrence."""
     text = F.concat(F.lit("^"), host, path, F.lit("$"))
-    none = F.expr("CAST(array() AS array<int>)")
 
     def grams(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(none)
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(BUCKETS)))
+        """One pass over the text finds the n-gram at every position."""
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)))
 
     return F.flatten(F.array(*map(grams, GRAMS)))
 
@@ -132,10 +131,10 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[Rule], *, url: str = "u
     The verdict is the rule's, else "block" from the model's threshold on and "allow" below it. A URL that is null or
     has no "://" has an empty host and path, fits no rule, and is allowed. Of rules equally long, the first in
     alphabetical order wins. Rules are a short list (each is an expression of the plan). Columns with the new names are
-    replaced; rows are neither merged nor dropped.
+    replaced, the URL's own as well if it has such a name; rows are neither merged nor dropped.
     """
-    kept = pages.drop("host", "path", "rule", "block_probability", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    parts = kept.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    kept = pages.withColumn("__url", F.col(url)).drop("host", "path", "rule", "block_probability", "verdict")
+    parts = kept.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url"))).drop("__url")
     host, path = F.col("host"), F.col("path")
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
     rule = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.name)) for r in ordered], F.lit(None).cast("string"))
