@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_BYTES, map_batches, mix, ragged, schema_with, span_hashes, text_slices, word_spans, written
+from ..session import written
+from .common import LOWER, SPACE_BYTES, map_batches, mix, ragged, schema_with, span_hashes, text_slices, word_spans
 
 MIN_SENTENCES = 3
 MIN_WORDS = 20
@@ -31,6 +32,10 @@ _CLOSERS[[ord(c) for c in "\"')]}"]] = True
 _FAR_ENDS, _FAR_CLOSERS = (np.array([int.from_bytes(c.encode(), "big") for c in marks]) for marks in ("。．！？；：，、。…।॥؟،؛۔", "”’»」』）】"))
 #: Words in a piece of a long clause, at most. With runs of 3 sentences and 20 words, any 5 * PIECE_WORDS + 1 words hold a run.
 PIECE_WORDS = 10
+#: Runs with the most places, whose rows are spread over SALTS tasks each where places meet first places; no other run can
+#: have more than a HOT_RUNS-th of all places.
+HOT_RUNS = 4096
+SALTS = 64
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -159,10 +164,13 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kept = docs.drop("n_sentences", "n_removed", "n_removed_words")
     spans = runs(kept, key=key, text=text, min_sentences=min_sentences, min_words=min_words)
     place = F.struct(F.col(key), F.col("__copy"), F.col("sentence"))
-    again = spans.groupBy("high", "low").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    again = written(again, "repeated").select(F.col("high").alias("__high"), F.col("low").alias("__low"), "__first")
+    again = spans.groupBy("high", "low").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    again = written(again, "repeated")
+    hot = written(again.orderBy(F.desc("__n"), "high", "low").limit(HOT_RUNS).select("high", "low", F.lit(SALTS).alias("__salts")), "hot")
+    salted = spans.join(F.broadcast(hot), ["high", "low"], "left").withColumn("__salt", F.pmod(F.xxhash64(place), F.coalesce("__salts", F.lit(1))))
+    first = again.join(F.broadcast(hot), ["high", "low"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1)))
     hits = (
-        spans.join(again, (spans["high"] == again["__high"]) & (spans["low"] == again["__low"]))
+        salted.join(first.select("high", "low", "__salt", "__first"), ["high", "low", "__salt"])
         .where(~place.eqNullSafe(F.col("__first")))
         .groupBy(F.col(key).alias("__key"), F.col("__copy").alias("__hit_copy"))
         .agg(F.collect_set("sentence").alias("__hits"))
