@@ -21,7 +21,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_batches, written
+from ..session import fresh_path, written
+from .common import bounded_batches, map_batches
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -34,6 +35,11 @@ DICTIONARY_BYTES = 16_384
 TRAINING_BYTES = 1 << 20
 LEVEL = 3
 READ_BYTES = 1 << 16
+#: Bytes of archives that one task reads, and of payloads that one batch of records holds.
+TASK_BYTES = 128 << 20
+BATCH_PAYLOADS = 4 << 20
+#: Payloads whose copies are matched by broadcast: each has more than a HOT_PAYLOADS-th of all records.
+HOT_PAYLOADS = 1024
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,7 +106,7 @@ def decode(raw: bytes) -> Record:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError(f"malformed header {line[:40]!r}")
-        fields[name.strip().lower()] = value.strip()
+        fields[name.strip(" \t").lower()] = value.strip(" \t")
     missing = [k for k in ("warc-type", "warc-record-id", "warc-date", "content-length") if k not in fields]
     if missing:
         raise ValueError(f"missing header {missing[0]}")
@@ -175,7 +181,9 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 0, page_id: str = "page_
 
     Payloads are compared by length and SHA-1; those of fewer than min_bytes bytes refer to none. A null html is an empty
     payload. A null page_id is never referred to and refers to none. Rows that share the largest page_id are responses
-    all. Groups are counted before they are joined back, so a payload that many pages have is one row on that side.
+    all. Groups are counted by digest, without payloads, before they are joined back. The HOT_PAYLOADS payloads with the
+    most copies are broadcast (that many rows at most), so the copies of an empty or error page aren't moved to one task;
+    no other payload can have more than a HOT_PAYLOADS-th of the records.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("html"))
@@ -185,22 +193,29 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 0, page_id: str = "page_
         .groupBy("__key")
         .agg(F.max("page_id").alias("__last"), F.count(F.lit(1)).alias("__n"))
         .where("__n > 1")
-        .select("__key", "__last")
     )
+    last = written(last, "payloads")
+    hot = written(last.orderBy(F.desc("__n"), "__key").limit(HOT_PAYLOADS).select("__key", F.col("__last").alias("__hot")), "hot")
+    cold = last.join(F.broadcast(hot), "__key", "left_anti").select("__key", "__last")
+    # a hot key is no key of the second join, so its rows stay spread by their ids
+    found = rows.join(F.broadcast(hot), "__key", "left")
+    spread = F.when(F.col("__hot").isNotNull(), F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("__key"))
+    found = found.withColumn("__key", spread).join(cold, "__key", "left").withColumn("__last", F.coalesce("__hot", "__last"))
     refers = F.when(F.col("page_id") < F.col("__last"), F.col("__last"))
-    return rows.join(last, "__key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return found.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write mark_revisits() rows as archives in folder; path and records of every archive. Empty input, no archive."""
+    """Write mark_revisits() rows as archives in folder; path, records and bytes of every archive. Empty input, no archive."""
 
     def flush(records: list[bytes]) -> pa.RecordBatch:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"
+        data = archive(records)
         with store.open_output_stream(f"{root}/{name}") as out:
-            out.write(archive(records))
-        return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64())})
+            out.write(data)
+        return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
@@ -216,49 +231,61 @@ def write_archives(marked: DataFrame, folder: str, *, archive_bytes: int = ARCHI
         if records:
             yield flush(records)
 
-    return written(marked.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, records long"), "manifest")
+    return written(bounded_batches(marked.select("page_id", "url", "html", "refers_to")).mapInArrow(write, "path string, records long, bytes long"), "manifest")
 
 
 RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, error string"
 
 
-def read_archives(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """The records of the archives in manifest's column path, with the columns of RECORDS.
+def read_archives(manifest: DataFrame, *, payloads: bool = True, strict: bool = True) -> DataFrame:
+    """The records of the archives in manifest (path, records, bytes), with the columns of RECORDS.
 
-    A record that fails a check has only an error; so has what follows a broken frame. With payloads=False payloads are
-    checked but left null.
+    A record that fails a check is an error that names its archive, and so are a broken frame and an archive with another
+    number of records than the manifest says. With strict=False such a record, or what follows a broken frame, is a row
+    with nothing but the error. With payloads=False payloads are checked but left null. Archives are dealt out to tasks by
+    bytes, TASK_BYTES to a task where there are archives enough for all cores.
     """
-    archives = max(1, manifest.count())
+    found = manifest.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = min(max(1, found.n), max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(found.bytes or 0) // TASK_BYTES)))
     shape = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
-    def read(path: str) -> Iterator[tuple]:
+    def read(path: str, records: int) -> Iterator[tuple]:
         store, name = fs.FileSystem.from_uri(path)
         with store.open_input_stream(name) as source:
             data = source.read()
+        n = 0
         try:
             for raw in frames(data):
+                n += 1
                 try:
                     r = decode(raw)
                 except ValueError as e:
+                    if strict:
+                        raise
                     yield (None,) * 7 + (str(e),)
                     continue
                 kind = "response" if r.refers_to is None else "revisit"
                 yield r.page_id, r.url, kind, r.payload if payloads else None, r.payload_bytes, r.payload_digest, r.refers_to, None
+            if n != records:
+                raise ValueError(f"{n} records instead of {records}")
         except (ValueError, zstandard.ZstdError) as e:
+            if strict:
+                raise ValueError(f"{path}, record {n}: {e}") from e
             yield (None,) * 7 + (str(e),)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for path in batch.column(0).to_pylist():
-            rows = []
-            for row in read(path):
+        rows, size = [], 0
+        for path, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in read(path, records):
                 rows.append(row)
-                if len(rows) == 500:
+                size += 256 + len(row[3] or b"")
+                if size >= BATCH_PAYLOADS:
                     yield _batch(rows, shape, names)
-                    rows = []
-            yield _batch(rows, shape, names)
+                    rows, size = [], 0
+        yield _batch(rows, shape, names)
 
-    return map_batches(manifest.select("path").repartition(archives, "path"), step, RECORDS)
+    return map_batches(manifest.select("path", "records").repartition(tasks), step, RECORDS)
 
 
 def _batch(rows: list[tuple], shape: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
