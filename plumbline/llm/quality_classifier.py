@@ -14,15 +14,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import written
 from .common import map_batches
 
-#: Bounds of the training sample: labelled rows of each class, and characters of a text that may be in it.
+#: Bounds of the training sample: labelled rows of each class, and bytes of their texts together.
 SAMPLE_ROWS = 2400
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 24 << 20
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 #: Ridge penalty of the calibration.
@@ -99,23 +100,19 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", key: str = "doc_id") -> QualityModel | None:
     """Fit on the labelled texts; None unless both classes have two of them.
 
-    The sample is, of each class, the SAMPLE_ROWS keys with the least hash, so at most 2 * SAMPLE_ROWS rows are joined
-    to docs and at most SAMPLE_ROWS * SAMPLE_CHARS characters of each class come to the driver. Keys without a text, or
-    with an empty or longer one, fall out. A key labelled twice counts with its larger label; of a key's several texts
-    the least is taken. Even rows make the dictionaries, odd ones the calibration, which so sees texts that are in
-    neither dictionary.
+    The sample is, of each class, the SAMPLE_ROWS keys with the least hash, and of these, in that order, the whole texts
+    of SAMPLE_BYTES bytes together, which is all that comes to the driver. Keys without a text, or with an empty one, fall
+    out. A key labelled twice counts with its larger label; of a key's several texts the least is taken. Even rows make
+    the dictionaries, odd ones the calibration, which so sees texts that are in neither dictionary.
     """
     one = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("k"), "k"]
     keys = one.where("y = 0").orderBy(*order).limit(SAMPLE_ROWS).unionAll(one.where("y = 1").orderBy(*order).limit(SAMPLE_ROWS))
-    rows = (
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-        .where(F.length("t").between(1, SAMPLE_CHARS))
-        .join(F.broadcast(keys), "k")
-        .groupBy("k")
-        .agg(F.min("t").alias("t"), F.first("y").alias("y"))
-        .collect()
-    )
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0).join(F.broadcast(keys), "k")
+    chosen = written(found.groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")), "sample")
+    bytes_so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(*order))
+    within = chosen.select("k", "y", bytes_so_far.alias("n")).where(F.col("n") <= SAMPLE_BYTES).select("k")
+    rows = chosen.join(F.broadcast(within), "k").collect()
     sample = {y: [r.t.encode() for r in sorted(rows, key=lambda r: r.k) if r.y == y] for y in (0, 1)}
     if min(map(len, sample.values())) < 2:
         return None
