@@ -178,6 +178,26 @@ def test_url_classifier_on_hosts_it_has_not_seen(spark):
     assert right >= 0.8 * rows.count()
 
 
+def test_url_grams_and_parts_equal_brute_force(spark):
+    urls = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()] + [None, "", "http://", "HTTP://É.test/ü?a://b", "x://" + "long/" * 40_000]
+    rows = spark.createDataFrame([(u,) for u in urls], "host string")  # the URL in a column that is replaced
+    model = url_filter.UrlModel(tuple(0.0 for _ in range(url_filter.BUCKETS)), -1.0)
+    got = url_filter.judge(rows.repartition(1), model, queries.URL_RULES, url="host").collect()
+    assert [(r.host, r.path) for r in got if r.block_probability == 0] == [("", "")] * sum(not u or "://" not in u or u == "http://" for u in urls)
+    want = collections.Counter()
+    for u in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+        fits = [r for r in queries.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = min(fits, key=lambda r: (-len(r.name), r.name), default=None)
+        want[host, path, best.name if best else None, best.verdict if best else "allow"] += 1
+    assert collections.Counter((r.host, r.path, r.rule, r.verdict) for r in got) == want
+    grams = spark.createDataFrame([("é.test", "/añ")], "h string, p string").select(url_filter.buckets(F.col("h"), F.col("p")).alias("b")).first().b
+    text = "^é.test/añ$"
+    assert len(grams) == sum(len(text) - n + 1 for n in url_filter.GRAMS)
+    assert url_filter.judge(rows.limit(0), model, queries.URL_RULES, url="host").count() == 0
+
+
 # --- PII
 
 
@@ -458,6 +478,17 @@ def test_equal_rows_are_one_document(spark):
     assert got.where("doc_id = 10").first().n_removed > 0
 
 
+def test_runs_with_many_places_are_spread_and_found(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 3)
+    random.seed(13)
+    some = lambda n: " ".join(f"w{random.randrange(10**6)}" + random.choice(["", "", "."]) for _ in range(n))
+    hot, other = some(60), some(60)
+    rows = [(k, f"{some(20)}. {hot if k % 3 else other} {some(15)}") for k in range(60)]
+    got = {r.doc_id: r.n_removed_words for r in substring_dedup.remove_repeated(docs(spark, rows)).collect()}
+    assert got[0] == got[1] == 0 and all(40 <= got[k] <= 62 for k in range(2, 60) if k not in (0, 1))
+    assert substring_dedup.remove_repeated(docs(spark, rows).limit(0)).count() == 0
+
+
 # --- WARC
 
 
@@ -486,6 +517,28 @@ def test_revisits(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_broken_archives_are_errors(spark, tmp_path):
+    records = [warc.Record(k, None, b"abc", 3, warc.sha1_base32(b"abc"), None).encode() for k in range(3)]
+    (tmp_path / "a").write_bytes(warc.archive(records)[:-2])
+    (tmp_path / "b").write_bytes(warc.archive([records[0], records[1].replace(b"abc", b"abd"), records[2]]))
+    (tmp_path / "c").write_bytes(warc.archive(records[:2]))
+    for name, why in (("a", "cut off"), ("b", "digest"), ("c", "2 records instead of 3")):
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}", 3, 10)], "path string, records long, bytes long")
+        with pytest.raises(Exception, match=why):
+            warc.read_archives(manifest).collect()
+        loose = warc.read_archives(manifest, strict=False).collect()
+        assert sum(r.error is not None for r in loose) == 1
+
+
+def test_copies_of_common_payloads_are_revisits(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", 2)
+    monkeypatch.setattr(warc, "BATCH_PAYLOADS", 600)
+    rows = [(k, f"u{k}", ("", "error page", "three", f"own {k}")[0 if k % 2 else 1 if k % 3 else 2 if k % 4 else 3]) for k in range(200)]
+    last = {h: max(k for k, _, x in rows if x == h) for _, _, h in rows}
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload.decode() if r.payload is not None else None) for r in warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("response", None, h) if last[h] == k else ("revisit", last[h], None) for k, _, h in rows}
+
+
 # --- HTML
 
 
