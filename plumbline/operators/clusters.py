@@ -171,36 +171,6 @@ def merge_seeds(boxes: DataFrame, page: str, key: str, least_iou: float = 0.5, l
     return per_page(boxes, page, step, f"{page} {kinds[page]}, {key} {kinds[key]}, seed {kinds[key]}")
 
 
-def xy_cut(boxes: DataFrame, page: str, key: str, least_gap: float, least_boxes: int = 2, depth: int = 4) -> DataFrame:
-    """page, key and piece: boxes cut along empty bands of least_gap or more, widest first, to the given depth."""
-
-    def cut(rows: list, level: int) -> list[list]:
-        if level == depth or len(rows) < 2 * least_boxes:
-            return [rows]
-        best = None
-        for axis, size in (("x", "w"), ("y", "h")):
-            reach = None
-            for r in sorted(rows, key=lambda r: getattr(r, axis)):
-                start = getattr(r, axis)
-                if reach is not None and start - reach >= least_gap and (best is None or start - reach > best[0]):
-                    best = (start - reach, axis, (start + reach) / 2)
-                reach = max(reach if reach is not None else start, start + getattr(r, size))
-        if best is None:
-            return [rows]
-        parts = [[r for r in rows if (getattr(r, best[1]) < best[2]) == side] for side in (True, False)]
-        if min(map(len, parts)) < least_boxes:
-            return [rows]
-        return [p for part in parts for p in cut(part, level + 1)]
-
-    def step(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(group.itertuples(), key=lambda r: getattr(r, key))
-        out = [(getattr(r, page), getattr(r, key), k) for k, part in enumerate(cut(rows, 0)) for r in part]
-        return pd.DataFrame(out, columns=[page, key, "piece"])
-
-    kinds = dict(boxes.dtypes)
-    return per_page(boxes, page, step, f"{page} {kinds[page]}, {key} {kinds[key]}, piece long")
-
-
 def reading_rows(lines: DataFrame, page: str, key: str, factor: float = 0.5, least: float = 4.5) -> DataFrame:
     """page, key and row: lines by their centre, each joining the row whose running mean is near, else a new one."""
 

@@ -159,11 +159,6 @@ def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.merge_seeds(boxes(spark, sf_dir).drop("user_id"), "page", "event_id")
 
 
-@query("CC11")
-def xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.xy_cut(boxes(spark, sf_dir).drop("user_id"), "page", "event_id", 0.02)
-
-
 @query("WN7")
 def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.reading_rows(boxes(spark, sf_dir).drop("user_id"), "page", "event_id", least=0.01)

@@ -30,5 +30,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for name in ("ledger", "defects", "text", "matching", "marks", "verdicts", "store", "geometry", "clusters", "evaluation"):
+    for name in ("ledger", "defects", "text", "matching", "marks", "verdicts", "store", "geometry", "clusters", "drawings", "evaluation", "sources"):
         import_module(f"plumbline.plans.{name}")

@@ -44,8 +44,6 @@ def test_page_steps(spark):
     rows = [(1, 1, 0.0, 0.0, 1.0, 1.0), (1, 2, 0.1, 0.0, 0.9, 1.0), (1, 3, 5.0, 0.0, 1.0, 1.0), (1, 4, 5.2, 0.2, 0.3, 0.3)]
     boxes = spark.createDataFrame(rows, "page long, id long, x double, y double, w double, h double")
     assert {r.id: r.seed for r in clusters.merge_seeds(boxes, "page", "id").collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
-    pieces = {r.id: r.piece for r in clusters.xy_cut(boxes, "page", "id", 1.0).collect()}
-    assert pieces[1] == pieces[2] != pieces[3] == pieces[4]
     lines = {r.id: r.row for r in clusters.reading_rows(boxes, "page", "id", least=0.05).collect()}
     assert lines[1] == lines[2] == lines[3]
 
@@ -120,12 +118,64 @@ def test_contained_texts_equal_brute_force(spark):
     assert sorted(got) == sorted((a, b) for a, t in hosts for b, s in needles if t and s and len(s) >= 3 and s in t)
 
 
+def test_fragments_of_a_line_are_merged(spark):
+    from plumbline.operators import drawings
+
+    rows = [(1, 1, "服务热线", 0.9, 10.0, 100.0, 110.0, 120.0), (1, 2, "4008", 0.8, 115.0, 102.0, 160.0, 121.0), (1, 3, "far", 0.7, 300.0, 100.0, 340.0, 120.0), (1, 4, "LOW", 0.9, 10.0, 200.0, 50.0, 220.0), (1, 5, "VOLTAGE", 0.6, 55.0, 200.0, 120.0, 220.0), (2, 6, "MAC:", 0.5, 0.0, 0.0, 40.0, 9.0), (2, 7, "A4", 0.6, 41.0, 0.0, 60.0, 9.0)]
+    texts = spark.createDataFrame([(*r, 1000.0, 800.0) for r in rows], "page long, id long, text string, conf double, x0 double, y0 double, x1 double, y1 double, width double, height double")
+    got = {r.id: (r.n, r.text, r.conf, r.x1) for r in drawings.merge_fragments(texts, "page", "id").collect()}
+    assert got == {1: (2, "服务热线4008", 0.8, 160.0), 3: (1, "far", 0.7, 340.0), 4: (2, "LOW VOLTAGE", 0.6, 120.0), 6: (2, "MAC:A4", 0.5, 60.0)}
+
+
+def test_records_of_an_image(spark):
+    from plumbline.operators import drawings
+
+    images = {
+        1: ["子件编码：1102040009", "子件名称：包装箱 大号", "2026-03-14"],
+        2: ["1102040009 包装箱", "1102040010", "垫片", "1102040011"],
+        3: ["螺丝 M3", "1102040009", "经手人：张三"],
+        4: ["1102040009", "上盖", "1102040010"],
+        5: ["数量", ""],
+    }
+    rows = spark.createDataFrame([(i, k, s) for i, r in images.items() for k, s in enumerate(r)], "image long, row long, text string")
+    got = sorted((r.image, r.seq, r.code, r.info) for r in drawings.parse_records(rows).collect())
+    assert got == [
+        (1, 0, "1102040009", "包装箱 大号"), (2, 0, "1102040009", "包装箱"), (2, 1, "1102040010", "垫片"), (2, 2, "1102040011", ""), (3, 0, "1102040009", "螺丝 M3"),
+        (4, 0, "1102040009", "上盖"), (4, 1, "1102040010", ""), (5, 0, "", ""),
+    ]
+
+
+def test_corridors_and_cuts(spark):
+    from plumbline.operators import drawings
+
+    cells = spark.createDataFrame([(1, 1, r, c) for r in (0, 1, 2, 4, 5, 6) for c in range(3)] + [(2, 5, r, c) for r in range(6) for c in range(2)], "page long, comp long, r long, c long")
+    lines = [(1, 0.0, 72.0, 72.0, 73.0), (1, 0.0, 95.0, 72.0, 96.0), (1, 5.0, 0.0, 60.0, 60.0), (1, 5.0, 100.0, 60.0, 165.0), (2, 0.0, 0.0, 48.0, 144.0)]
+    rects = spark.createDataFrame(lines, "page long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.page, r.r, r.c): r.part for r in drawings.split_corridors(cells, rects, "page", "comp").collect()}
+    assert len(got) == 30 and {got[1, r, c] for r in (0, 1, 2) for c in range(3)} == {0} and {got[1, r, c] for r in (4, 5, 6) for c in range(3)} == {1} and {v for k, v in got.items() if k[0] == 2} == {0}
+    seeds = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 100.0), (1, 2, 90.0, 10.0, 101.0, 20.0)], "page long, seed long, x0 double, y0 double, x1 double, y1 double")
+    shapes = spark.createDataFrame([(1, x + 0.0, y * 20.0, x + 10.0, y * 20.0 + 20) for x in (0, 20, 30, 70, 85) for y in range(5)], "page long, x0 double, y0 double, x1 double, y1 double")
+    pieces = sorted((r.x0, r.x1, r.n) for r in drawings.xy_cut(seeds, shapes, "page", "seed", least=6).collect())
+    assert pieces == [(0.0, 55.0, 15), (55.0, 101.0, 10)]
+
+
+def test_marks_of_one_spot_are_one(spark):
+    from plumbline.operators import drawings
+
+    def mark(i, spans, images, view, x, conf, text="t"):
+        return (1, i, "Text", text, 0, view, spans, images, x, 0.0, 1.0, 1.0, conf)
+
+    rows = [mark(1, ["a"], [], "v", 0.0, 0.5), mark(2, ["a"], [], "w", 9.0, 0.9), mark(3, ["b"], [], "w", 9.01, 0.4), mark(4, ["b"], [], "v", 9.0, 0.4), mark(5, [], ["i"], "x", 50.0, 0.9), mark(6, [], ["i"], "y", 60.0, 0.9), mark(7, ["a"], [], "w", 9.0, 0.1, "other")]
+    marks = spark.createDataFrame(rows, "drawing long, id long, type string, text string, page int, view string, spans array<string>, images array<string>, x double, y double, w double, h double, confidence double")
+    assert sorted(r.id for r in drawings.same_spots(marks).collect()) == [2, 4, 5, 7]
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.SQL)):
         assert registry.QUERIES[name](spark, SF).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["seed_merge", "xy_cut", "reading_rows"])
+@pytest.mark.parametrize("name", ["seed_merge", "reading_rows"])
 def test_page_queries_without_sql_see_all_events(spark, name):
     events = spark.read.parquet(f"{SF}/events.parquet")
     got = registry.QUERIES[name](spark, SF)

@@ -27,6 +27,12 @@ def test_publish_moves_the_pointer(spark, tmp_path):
     readers.publish(spark.range(3), root, "t")
     readers.publish(spark.range(5), root, "t")
     assert readers.current(spark, root, "t").count() == 5
+    (tmp_path / "t.lock").write_text("")
+    with pytest.raises(Exception, match="(?i)exist"):
+        readers.publish(spark.range(7), root, "t")
+    assert readers.current(spark, root, "t").count() == 5
+    (tmp_path / "t.lock").unlink()
+    assert len((tmp_path / "t.current").read_text().split("\n")) == 2
 
 
 def test_truth_sheet_round_trip(spark, tmp_path):
