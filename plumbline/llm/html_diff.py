@@ -220,23 +220,24 @@ def _chunked(rows: DataFrame) -> DataFrame:
     """rows (page_id, host, path, ...) with chunk and guest: hosts of many pages are split by (path, page_id).
 
     A page at a chunk's edge also appears in the chunk beyond, as a guest. Only URLs and ids are read to find where to
-    cut: the cuts come from a sample and decide nothing but the chunks' sizes.
+    cut: the cuts come from a sample and decide nothing but the chunks' sizes. There are about CHUNKS chunks in split hosts
+    at most, so the broadcast tables have as many cuts and twice as many edges.
     """
     light = rows.select("host", F.struct("path", "page_id").alias("at"))
     total = rows.sparkSession.createDataFrame([], "n long") if rows.isEmpty() else light.agg(F.count(F.lit(1)).alias("n"))
     size = F.greatest(F.lit(CHUNK_PAGES), F.ceil(F.col("total") / CHUNKS))
     large = light.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total.withColumnRenamed("n", "total"))).where((F.col("n") > 2 * size) & (F.col("host") != ""))
     large = large.select("host", F.ceil(F.col("n") / size).alias("chunks"), F.greatest(F.lit(1), F.floor(size / 16)).alias("step"))
-    sample = light.join(large, "host").where(F.pmod(F.xxhash64("at"), F.col("step")) == 0)
+    sample = light.join(F.broadcast(large), "host").where(F.pmod(F.xxhash64("at"), F.col("step")) == 0)
     ordered = F.array_sort(F.collect_set("at"))
     picked = sample.groupBy("host", "chunks").agg(ordered.alias("s"))
     cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.col("chunks") - 1, F.lit(1))), lambda k: F.get("s", F.floor(k * F.size("s") / F.col("chunks")).cast("int")))
     cuts = written(picked.select("host", F.array_distinct(F.filter(cuts, F.isnotnull)).alias("cuts")), "cuts")
 
     def chunk(df: DataFrame, at: Column) -> DataFrame:
-        return df.join(cuts, "host", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))).drop("cuts")
+        return df.join(F.broadcast(cuts), "host", "left").withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))).drop("cuts")
 
-    split = chunk(light.join(cuts.select("host"), "host", "left_semi"), F.col("at"))
+    split = chunk(light.join(F.broadcast(cuts.select("host")), "host", "left_semi"), F.col("at"))
     ends = split.groupBy("host", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     w = Window.partitionBy("host").orderBy("chunk")
     ends = ends.select("host", "chunk", F.when(F.lag("chunk").over(w).isNotNull(), F.struct(F.col("first").alias("at"), F.lag("chunk").over(w).alias("to"))).alias("back"), F.when(F.lead("chunk").over(w).isNotNull(), F.struct(F.col("last").alias("at"), F.lead("chunk").over(w).alias("to"))).alias("forth"))
@@ -244,7 +245,7 @@ def _chunked(rows: DataFrame) -> DataFrame:
     guests = written(ends, "edges")
     placed = chunk(rows, F.struct("path", "page_id"))
     edge = (rows["host"] == guests["host"]) & rows["path"].eqNullSafe(guests["path"]) & rows["page_id"].eqNullSafe(guests["page_id"])
-    copies = rows.join(guests, edge).select(*(rows[c] for c in rows.columns), F.col("to").alias("chunk"), F.lit(True).alias("guest"))
+    copies = rows.join(F.broadcast(guests), edge).select(*(rows[c] for c in rows.columns), F.col("to").alias("chunk"), F.lit(True).alias("guest"))
     return placed.select(*rows.columns, "chunk", F.lit(False).alias("guest")).unionByName(copies)
 
 
