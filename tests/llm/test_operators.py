@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 import tokenizers
+import zstandard
 from plumbline.llm import common, decontaminate, html_diff, ngram_join, packing, pii, quality_classifier, quality_rules, queries, substring_dedup, url_filter, warc
 
 DOCS = "doc_id long, text string"
@@ -336,6 +337,35 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
     assert (got[10], got[11], got[12], got[1]) == (True, False, False, False)
 
 
+def test_bands_equal_brute_force(spark):
+    random.seed(14)
+    word = lambda: "".join(random.choices("etaoinshrdlué", k=random.randint(1, 9)))
+    texts = [None, "", "x", *(" ".join(word() for _ in range(random.choice([5, 60, 200, 900]))) for _ in range(60))]
+    texts += [" ".join([random.choice(["spam spam", word()]) for _ in range(300)]) for _ in range(30)] + [base64.b85encode(random.randbytes(random.randint(50, 3000))).decode() for _ in range(20)] + ["long text " * 60_000, " ".join(base64.b85encode(random.randbytes(40)).decode() for _ in range(70))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(docs(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        raw, w = (t or "").encode(), words(t)
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+        size = lambda b: len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(b)) / max(1, len(b))
+        low, high = next(b[1:] for b in quality_rules.WHOLE_BANDS if len(raw) < b[0])
+        chunks = [size(raw[a : a + 1024]) for a in range(0, len(raw), 1024) if len(raw[a : a + 1024]) >= 512]
+        within = low <= size(raw) <= high and sum(not 0.28 <= c <= 0.85 for c in chunks) <= 0.25 * len(chunks)
+        assert got[k] == (failed, within and not failed), k
+    assert len({v for v in got.values()}) >= 3
+    assert quality_rules.apply_rules(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_long_labelled_texts_train_within_the_bound(spark, monkeypatch):
+    rows = [(k, ("good plain words " if k % 2 else "$$$ buy now ") * 3000 + str(k)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert quality_classifier.train(docs(spark, rows), labels) is not None
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 1000)
+    assert quality_classifier.train(docs(spark, rows), labels) is None
+    assert quality_classifier.score_quality(docs(spark, rows).limit(0), None).count() == 0
+
+
 def test_scores_keep_rows_and_columns(spark):
     rows = [(k, ("good words of a plain text " if k % 2 else "$$$ buy %%% now &&& ") * (k % 7 + 1) + str(k)) for k in range(100, 200)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(100, 200)], "doc_id long, quality int")
@@ -596,7 +626,7 @@ def brute_extract(rows):
     return out
 
 
-@pytest.mark.parametrize(("parts", "chunk"), [(1, 256), (4, 2), (211, 3)])
+@pytest.mark.parametrize(("parts", "chunk"), [(1, 256), (4, 2), (211, 5)])
 def test_pages_equal_brute_force_however_they_are_dealt_out(spark, monkeypatch, parts, chunk):
     random.seed(12)
     monkeypatch.setattr(html_diff, "CHUNK_PAGES", chunk)
@@ -646,6 +676,45 @@ def test_long_and_broken_pages_take_linear_time():
 # --- pipeline
 
 
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(15)
+    text = lambda n: " ".join(f"w{random.randrange(3000)}" for _ in range(n))
+    item = text(15)
+    base = [text(40) for _ in range(12)]
+    rows = [*ODD, *enumerate(base, 100), *((200 + k, b + " tail") for k, b in enumerate(base[:5])), (300, f"{text(9)} {item} {text(9)}"), (301, "mail me@mail.example.com or call (974) 555-3436"), (None, base[0]), (302, text(5000)), (302, text(5))]
+    d = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text").cast("long")).withColumn("n_words", F.lit("clash"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, k % 2) for k in range(100, 112)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    scored = corpus_pipeline.quality(spark, d, str(tmp_path))
+    assert scored.columns == d.columns and scored.count() <= len(rows)
+
+    once = common.written(corpus_pipeline.near_duplicates(spark, d, str(tmp_path)), "test")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in once.collect())
+    gone = {(str(200 + k), b + " tail") for k, b in enumerate(base[:5])} | {("None", base[0])}
+    assert kept == sorted((str(i), str(t)) for i, t in rows if (str(i), str(t)) not in gone)
+
+    clean = corpus_pipeline.decontamination(spark, once, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(i for i, _ in kept if i != "300")
+    private = {(str(r.doc_id), r.n_chars): r.text for r in corpus_pipeline.personal_data(spark, clean, str(tmp_path)).collect()}
+    assert all(t is None or len(t) == n for (_, n), t in private.items()) and not any("555-3436" in (t or "") or "mail.example" in (t or "") for t in private.values())
+
+    packed = corpus_pipeline.packed(spark, clean, str(tmp_path)).collect()
+    room = collections.defaultdict(list)
+    for r in packed:
+        room[r.sequence_id].append((r.offset, r.length))
+    for pieces in room.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(room) <= -(-sum(r.length for r in packed) // 2048) + 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
