@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, written
 from .components import components
+from .geometry import upper_median
 
 
 def label(items: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -225,16 +226,41 @@ def attach_vectors(vectors: DataFrame, seeds: DataFrame, page: str, key: str, se
     return box.select(page, seed, "n", "x", "y", (F.col("__r") - F.col("x")).alias("w"), (F.col("__b") - F.col("y")).alias("h"))
 
 
-def menu_clusters(elements: DataFrame, block: str) -> DataFrame:
-    """Blocks whose elements look like a screen menu: eight at least, in three rows at least, on a quarter of the block.
+#: Rows and clusters of a screen menu in median heights, its least items and rows, and its largest share of a block.
+MENU_ROW, MENU_GAP, MENU_ITEMS, MENU_ROWS, MENU_SHARE = 1.5, 10.0, 8, 3, 0.25
 
-    Rows are gap islands of the centres at 1.5 times the median height.
+
+def gray_menus(elements: DataFrame, block: str, element: str) -> DataFrame:
+    """elements (block, element, x, y, w, h, participate, block_area) without screen menus: participate is false for these,
+    and menu says so.
+
+    The participating elements of a block, by their centres from top to bottom, fall into clusters at gaps of more than 10
+    median heights and into rows at gaps of more than 1.5; a cluster of 8 elements or more, in 3 rows or more, on a quarter
+    of the block at most is a menu. Should that leave a block of 8 or more with nothing, it is split at its widest gap, and
+    a side of fewer than 8 takes part after all: keys beside a screen.
     """
-    heights = elements.groupBy(block).agg(F.median("h").alias("__m"))
-    rows = gap_islands(elements.join(heights, block).withColumn("cy", F.col("y") + F.col("h") / 2), [block], "cy", F.col("__m") * 1.5, ["x"])
+    cy = F.col("y") + F.col("h") / 2
+    heights = elements.where("participate").groupBy(block).agg(upper_median(F.greatest("h", F.lit(1.0))).alias("__m"), F.count(F.lit(1)).alias("__before"))
+    rows = elements.join(heights, block, "left").withColumn("__cy", cy)
+    taking = rows.where("participate")
+    down = Window.partitionBy(block).orderBy("__cy", element)
+    taking = taking.withColumn("__d", F.col("__cy") - F.lag("__cy").over(down)).withColumn("__new", F.when(F.col("__d") > MENU_GAP * F.col("__m"), 1).otherwise(0))
+    taking = taking.withColumn("__c", F.sum("__new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    breaks = F.count_if((F.col("__d") > MENU_ROW * F.col("__m")) & (F.col("__new") == 0))
     area = (F.max(F.col("x") + F.col("w")) - F.min("x")) * (F.max(F.col("y") + F.col("h")) - F.min("y"))
-    found = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("island").alias("n_rows"), area.alias("area"))
-    return found.withColumn("is_menu", (F.col("n") >= 8) & (F.col("n_rows") >= 3) & (F.col("area") <= 0.25))
+    found = taking.groupBy(block, "__c").agg(F.count(F.lit(1)).alias("n"), (breaks + 1).alias("n_rows"), area.alias("area"), F.first("block_area").alias("whole"), F.collect_list(element).alias("e"))
+    menus = found.where((F.col("n") >= MENU_ITEMS) & (F.col("n_rows") >= MENU_ROWS) & (F.col("area") <= MENU_SHARE * F.greatest("whole", F.lit(1.0))))
+    menus = menus.select(block, F.explode("e").alias(element), F.lit(True).alias("__menu"))
+    judged = rows.join(menus, [block, element], "left").withColumn("__menu", F.coalesce("__menu", F.lit(False)))
+    judged = judged.withColumn("__after", F.col("participate") & ~F.col("__menu"))
+    whole = Window.partitionBy(block)
+    judged = judged.withColumn("__pos", F.row_number().over(down)).withColumn("__gap", F.col("__cy") - F.lag("__cy").over(down)).withColumn("__widest", F.max("__gap").over(whole))
+    judged = judged.withColumn("__top", F.col("__pos") < F.min(F.when(F.col("__gap") == F.col("__widest"), F.col("__pos"))).over(whole))
+    side = F.count(F.lit(1)).over(Window.partitionBy(block, "__top"))
+    rescued = (F.coalesce("__before", F.lit(0)) >= MENU_ITEMS) & ~F.col("__left") & (F.col("__side") < MENU_ITEMS)
+    judged = judged.withColumn("__side", side).withColumn("__left", F.bool_or("__after").over(whole)).withColumn("__back", F.coalesce(rescued, F.lit(False)))
+    kept = [c for c in elements.columns if c != "participate"]
+    return judged.select(*kept, (F.col("__after") | F.col("__back")).alias("participate"), (F.col("__menu") & ~F.col("__back")).alias("menu"))
 
 
 def bridge_merge(parts: DataFrame, lines: DataFrame, page: str, key: str, line: str, most_gap: float, least_reach: float, thickness: float) -> DataFrame:

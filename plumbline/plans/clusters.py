@@ -142,16 +142,23 @@ def grown_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "V16 WN6",
-    """WITH e AS (SELECT user_id, event_id, (event_id % 83) / 400.0::DOUBLE AS x, (event_id % 79) / 100.0::DOUBLE AS y, 0.05 AS w, 0.01 + (event_id % 3) / 100.0::DOUBLE AS h FROM events), m AS (SELECT user_id, median(h) AS m FROM e GROUP BY user_id),
-    l AS (SELECT *, CASE WHEN y + h / 2 - lag(y + h / 2) OVER (PARTITION BY user_id ORDER BY y + h / 2, x) > m * 1.5 THEN 1 ELSE 0 END AS new FROM e JOIN m USING (user_id)),
-    k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY y + h / 2, x ROWS UNBOUNDED PRECEDING) AS island FROM l), a AS (SELECT user_id, count(*) AS n, count(DISTINCT island) AS n_rows, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS area FROM k GROUP BY user_id)
-    SELECT user_id, n, n_rows, n >= 8 AND n_rows >= 3 AND area <= 0.25 AS is_menu FROM a""",
+    "V16 WN6 WN8",
+    """WITH e AS (SELECT user_id, event_id, (event_id % 83 * 4)::DOUBLE AS x, (event_id % 79 // 8 * CASE WHEN user_id % 2 = 0 THEN 70 ELSE 50 END + event_id % 3 + CASE WHEN user_id % 3 = 0 AND event_id % 11 = 0 THEN 900 ELSE 0 END)::DOUBLE AS y, 50.0::DOUBLE AS w, (10 + event_id % 3 * 10)::DOUBLE AS h, event_id % 13 > 0 AS participate FROM events),
+    m AS (SELECT user_id, list_sort(list(h))[len(list(h)) // 2 + 1] AS m, count(*) AS n0 FROM e WHERE participate GROUP BY user_id), t AS (SELECT e.*, m, y + h / 2 AS cy, y + h / 2 - lag(y + h / 2) OVER (PARTITION BY user_id ORDER BY y + h / 2, event_id) AS d FROM e JOIN m USING (user_id) WHERE participate),
+    c AS (SELECT *, sum(CASE WHEN d > 10 * m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY cy, event_id ROWS UNBOUNDED PRECEDING) AS c FROM t),
+    g AS (SELECT user_id, c FROM c GROUP BY user_id, c HAVING count(*) >= 8 AND 1 + count(*) FILTER (d > 1.5 * m AND d <= 10 * m) >= 3 AND (max(x + w) - min(x)) * (max(y + h) - min(y)) <= 250000),
+    j AS (SELECT e.user_id, e.event_id, e.y + e.h / 2 AS cy, n0, g.c IS NOT NULL AS menu, e.participate AND g.c IS NULL AS stays FROM e LEFT JOIN m USING (user_id) LEFT JOIN c ON c.user_id = e.user_id AND c.event_id = e.event_id LEFT JOIN g ON g.user_id = c.user_id AND g.c = c.c),
+    p AS (SELECT *, row_number() OVER w AS pos, cy - lag(cy) OVER w AS gap, bool_or(stays) OVER (PARTITION BY user_id) AS rest FROM j WINDOW w AS (PARTITION BY user_id ORDER BY cy, event_id)),
+    s AS (SELECT user_id, arg_min(pos, (-gap, pos)) AS cut FROM p WHERE gap IS NOT NULL GROUP BY user_id), q AS (SELECT p.*, coalesce(pos < cut, true) AS top, count(*) OVER (PARTITION BY p.user_id, coalesce(pos < cut, true)) AS side FROM p LEFT JOIN s USING (user_id)),
+    r AS (SELECT *, coalesce(n0, 0) >= 8 AND NOT rest AND side < 8 AS back FROM q)
+    SELECT user_id, event_id, stays OR back AS participate, menu AND NOT back AS menu FROM r""",
 )
-def menu_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", ((e % 83) / 400.0).alias("x"), ((e % 79) / 100.0).alias("y"), F.lit(0.05).alias("w"), (F.lit(0.01) + (e % 3) / 100.0).alias("h"))
-    return clusters.menu_clusters(rows, "user_id").select("user_id", "n", "n_rows", "is_menu")
+def menu_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events on a block of 1000 by 1000: rows of a menu, on every second block too tall, on every third with keys below."""
+    e, user = F.col("event_id"), F.col("user_id")
+    y = F.floor(e % 79 / 8) * F.when(user % 2 == 0, 70).otherwise(50) + e % 3 + F.when((user % 3 == 0) & (e % 11 == 0), 900).otherwise(0)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (e % 83 * 4).cast("double").alias("x"), y.cast("double").alias("y"), F.lit(50.0).alias("w"), (e % 3 * 10 + 10).cast("double").alias("h"), (e % 13 > 0).alias("participate"), F.lit(1e6).alias("block_area"))
+    return clusters.gray_menus(rows, "user_id", "event_id").select("user_id", "event_id", "participate", "menu")
 
 
 @query("CC9")
