@@ -7,13 +7,16 @@ start (the positional bound); it has to lie within the document (the length boun
 one (verification).
 
 The benchmark is the query set, in blocks of BLOCK_WORDS words: a block's index is broadcast, and all documents are
-mapped against it one block at a time, so that documents are never shuffled and memory is bounded by a block.
+mapped against it one block at a time, so that documents are never shuffled and memory is bounded by a block and LOAD_BYTES
+of documents. The corpus is read once for the counts of COUNTED_BLOCKS blocks, and once more to find the windows of all.
+Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,15 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, LOWER, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_bytes, text_slices, word_spans
+from .common import ALNUM_BYTES, LOWER, bounded_batches, map_batches, mix, ragged, schema_with, shingle_hashes, span_hashes, text_bytes, text_slices, word_spans
 
 WINDOW_WORDS = 10
 #: Words of benchmark text in one broadcast block; its index takes about 200 bytes a word.
 BLOCK_WORDS = 200_000
+#: Blocks whose tokens are counted in one pass over the corpus.
+COUNTED_BLOCKS = 10
+#: Bytes of documents that several blocks are loaded for, one after another.
+LOAD_BYTES = 32 << 20
 #: Words in a token of the prefix join.
 TOKEN_WORDS = 2
 
@@ -169,6 +176,15 @@ def _load(shared: Broadcast) -> Block:
     return block
 
 
+def _shared_blocks(docs: DataFrame, found: Iterator[Block], text: str) -> list[Broadcast]:
+    """Every block with its prefixes, broadcast; COUNTED_BLOCKS of them are on the driver at a time."""
+    context, shared = docs.sparkSession.sparkContext, []
+    while group := list(islice(found, COUNTED_BLOCKS)):
+        counts = token_counts(docs, np.concatenate([b.tokens()[0] for b in group]), text)
+        shared += [context.broadcast(with_prefixes(b, counts)) for b in group]
+    return shared
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: list[str] | None = None, prefix: str = ""
 ) -> DataFrame:
@@ -181,41 +197,53 @@ def find_contamination(
     without an id are left out. An empty benchmark hits nothing. Other columns of docs are ignored unless in keep; where these clash with
     the new names, prefix goes before the new ones.
     """
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(with_prefixes(b, token_counts(docs, b.tokens()[0], text))) for b in blocks(benchmark, window, item, text)]
+    shared = _shared_blocks(docs, blocks(benchmark, window, item, text), text)
     keep = [key] if keep is None else keep
     n = len(keep)
     kinds = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "hit_starts": "array<long>", "hit_ends": "array<long>"}
     schema = schema_with(docs.select(*keep), ", ".join(f"`{prefix}{c}` {kind}" for c, kind in kinds.items()))
     long_list = pa.list_(pa.int64())
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batch, n):
-            words, first = _words(data, offsets)
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(part.num_rows)]
-            items: list[set[str]] = [set() for _ in range(part.num_rows)]
-            for handle in shared:
-                block = handle.value if len(shared) == 1 else _load(handle)
+    def judge(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(part, *_words(data, offsets)) for batch in batches for part, data, offsets in text_slices(batch, n)]
+        spans: list[list[list[tuple[int, int]]]] = [[[] for _ in range(part.num_rows)] for part, _, _ in parts]
+        items: list[list[set[str]]] = [[set() for _ in range(part.num_rows)] for part, _, _ in parts]
+        for handle in shared:
+            block = handle.value if len(shared) == 1 else _load(handle)
+            for k, (_, words, first) in enumerate(parts):
                 start, hit = _hits(words, first, block)
                 doc = np.searchsorted(first, start, side="right") - 1
                 for d, s, w in zip(doc.tolist(), (start - first[doc]).tolist(), hit.tolist(), strict=True):
-                    spans[d].append((s, s + int(block.length[w])))
-                    items[d].add(block.items[block.item[w]])
-            merged = [_merged(x) for x in spans]
+                    spans[k][d].append((s, s + int(block.length[w])))
+                    items[k][d].add(block.items[block.item[w]])
+        for k, (part, _, first) in enumerate(parts):
+            merged = [_merged(x) for x in spans[k]]
             yield pa.RecordBatch.from_arrays(
                 [
                     *part.columns[:n],
                     pa.array(np.diff(first)),
                     pa.array([sum(e - s for s, e in x) for x in merged], pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.array([len(x) for x in items[k]], pa.int64()),
+                    pa.array([sorted(x) for x in items[k]], pa.list_(pa.string())),
                     pa.array([[s for s, _ in x] for x in merged], long_list),
                     pa.array([[e for _, e in x] for x in merged], long_list),
                 ],
                 names=schema.names,
             )
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), step, schema)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                pending.append(batch)
+                size += batch.nbytes
+            if pending and (len(shared) < 2 or size >= LOAD_BYTES):
+                yield from judge(pending)
+                pending, size = [], 0
+        if pending:
+            yield from judge(pending)
+
+    return bounded_batches(docs.select(*keep, F.col(text).alias("__text"))).mapInArrow(each, schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
