@@ -201,10 +201,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY,
     """One row per piece: the columns keep (doc_id), piece, start, length, and ids as little-endian 32-bit numbers.
 
     A document's ids are those of its text and END_ID after them, so a null, empty or blank text is one piece of one id.
-    Documents of more than capacity ids are cut every capacity ids. Repeated rows are tokenised again. The tokenizer's
-    file must be at tokenizer_path on every executor.
+    Documents of more than capacity ids are cut every capacity ids. Repeated rows are tokenised again. Kept columns with
+    the new names are replaced. The tokenizer's file must be at tokenizer_path on every executor.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = ["doc_id"] if keep is None else [k for k in keep if k not in ("piece", "start", "length", "ids")]
     n = len(keep)
     schema = schema_with(docs.select(*keep), "piece int, start long, length long, ids binary")
 
