@@ -52,6 +52,8 @@ def test_contamination_with_several_blocks_equals_one(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, decontaminate.find_contamination(d, b, window=4).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(decontaminate, "COUNTED_BLOCKS", 3)
+    monkeypatch.setattr(decontaminate, "LOAD_BYTES", 500)
     assert sorted(map(str, decontaminate.find_contamination(d, b, window=4).collect())) == one
     assert decontaminate.find_contamination(d, b.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.remove_contaminated(d, b.limit(0)).columns == d.columns
@@ -415,6 +417,10 @@ def test_best_fit_decreasing_equals_one_by_one():
         assert sorted(capacity - sum(n for _, n in b) for b in bins.values()) == sorted(rooms)
 
 
+def packing_pieces(spark, rows, path):
+    return collections.Counter((r.doc_id, r.piece, r.start, r.length) for r in packing.pack_documents(docs(spark, rows), path).collect())
+
+
 def test_pieces_are_the_tokenizers(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [*ODD, (20, "don't I'LL 12a34 ---  ''s"), (21, "<|endoftext|> a <|STARTOFTEXT|>b"), (22, "ΑΣ Σ É"), (23, "Word, word. word!? " * 60)]
@@ -429,6 +435,8 @@ def test_pieces_are_the_tokenizers(spark):
             want[d, k // 64, k, len(part), zlib.crc32(part.tobytes())] += 1
     assert pieces == want
     assert packing.pack_documents(docs(spark, rows).limit(0), path).count() == 0
+    clash = packing.pack_documents(docs(spark, rows), path, keep=["doc_id", "length", "score"])
+    assert clash.columns == ["doc_id", "score", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and clash.agg(F.sum("length")).first()[0] == sum(k[3] * v for k, v in packing_pieces(spark, rows, path).items())
 
 
 # --- substring dedup
