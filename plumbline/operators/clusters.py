@@ -105,6 +105,31 @@ def grow(cells: DataFrame, page: str, steps: int = 2, least: int = 4) -> DataFra
     return owned.unionAll(weak.withColumn("cluster", F.lit(None).cast("long")))
 
 
+def place_orphans(cells: DataFrame, cores: DataFrame, page: str, columns: int, least: int = 6, share: float = 0.5, zones: DataFrame | None = None) -> DataFrame:
+    """Cells (page, r, c, cluster) after growth with what becomes of those that nothing claimed (cluster is null).
+
+    Unclaimed cells that touch form components; of those with least cells or more, one that lies in a grown component's box
+    for half or more is part of it (of the component of the best rank, if of several), others are seeds of their own,
+    orphans. Smaller ones go, and so do those that touch a zone (page, x0, y0, x1, y1, in cells). cores: page, cluster, rank.
+    """
+    box = [F.min("c").alias("x0"), F.min("r").alias("y0"), (F.max("c") + 1).alias("x1"), (F.max("r") + 1).alias("y1")]
+    owned = cells.where("cluster IS NOT NULL").select(page, "r", "c", "cluster")
+    loose = grid_components(cells.where("cluster IS NULL").select(page, "r", "c"), page, columns).where(F.col("size") >= least).select(page, "r", "c", F.col("cluster").alias("label"))
+    found = loose.groupBy(page, "label").agg(*box)
+    if zones is not None:
+        z = zones.select(F.col(page).alias("__p"), *(F.col(k).alias(f"z{k}") for k in ("x0", "y0", "x1", "y1")))
+        touches = (F.col(page) == F.col("__p")) & (F.col("x1") > F.col("zx0")) & (F.col("x0") < F.col("zx1")) & (F.col("y1") > F.col("zy0")) & (F.col("y0") < F.col("zy1"))
+        found = found.join(z, touches, "left_anti")
+    grown = owned.groupBy(page, "cluster").agg(*box).join(cores.select(page, "cluster", "rank").distinct(), [page, "cluster"])
+    g = grown.select(page, "cluster", "rank", *(F.col(k).alias(f"g{k}") for k in ("x0", "y0", "x1", "y1")))
+    across = lambda k: F.greatest(F.least(f"{k}1", f"g{k}1") - F.greatest(f"{k}0", f"g{k}0"), F.lit(0))
+    inside = across("x") * across("y") >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    hosts = found.join(g, page).where(inside).groupBy(page, "label").agg(F.min_by("cluster", "rank").alias("host"))
+    placed = loose.join(found.select(page, "label"), [page, "label"]).join(hosts, [page, "label"], "left")
+    orphans = placed.select(page, "r", "c", F.coalesce("host", "label").alias("cluster"), F.col("host").isNull().alias("orphan"))
+    return owned.withColumn("orphan", F.lit(False)).unionByName(orphans)
+
+
 def gap_islands(rows: DataFrame, by: list[str], value: str, most: float | Column, order: list[str] | None = None) -> DataFrame:
     """rows with island: numbered from 1, a new one where value exceeds the row's before by more than most."""
     w = Window.partitionBy(*by).orderBy(value, *(order or []))

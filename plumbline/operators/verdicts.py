@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +129,33 @@ def covered(box: g.Box, subject: g.Box) -> Column:
     return x.between(subject.x - m, subject.x + subject.w + m) & y.between(subject.y - m, subject.y + subject.h + m)
 
 
+def claim_codes(marks: DataFrame, codes: DataFrame, photo: str) -> DataFrame:
+    """photo, mark, code, nearest, second and any_code: which code of its photo each code mark takes.
+
+    marks: photo, mark, ex, ey (where it is expected), tol, found (decoded in place: such a mark takes none), trusted;
+    codes: photo, code, cx, cy. In the order of marks, one takes the nearest code within twice its tolerance that is still
+    free; second is the distance of the next free one. A mark without any takes the first free code if its place isn't
+    trusted, which only says that there is one (any_code). What one takes no other can, so a photo's marks, which are few,
+    are one step.
+    """
+    kinds = dict(marks.dtypes) | {"code": dict(codes.dtypes)["code"]}
+
+    def step(own: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        free = {r.code: (r.cx, r.cy) for r in seen.sort_values("code").itertuples()}
+        out = []
+        for m in own.sort_values("mark").itertuples():
+            near = sorted((math.hypot(m.ex - x, m.ey - y), c) for c, (x, y) in free.items())
+            near = [] if m.found or pd.isna(m.ex) or pd.isna(m.ey) else [n for n in near if n[0] <= 2 * m.tol]
+            loose = not near and not m.found and not m.trusted and bool(free)
+            code = near[0][1] if near else next(iter(free)) if loose else None
+            free.pop(code, None)
+            out.append((getattr(m, photo), m.mark, code, near[0][0] if near else None, near[1][0] if len(near) > 1 else None, loose))
+        return pd.DataFrame(out, columns=[photo, "mark", "code", "nearest", "second", "any_code"])
+
+    schema = f"{photo} {kinds[photo]}, mark {kinds['mark']}, code {kinds['code']}, nearest double, second double, any_code boolean"
+    return marks.groupBy(photo).cogroup(codes.groupBy(photo)).applyInPandas(step, schema)
+
+
 def undeclared_codes(codes: DataFrame, marks: DataFrame, photo: str, tol: float = g.VIEW_TOLERANCE) -> DataFrame:
     """Codes of a photo that lie within twice the tolerance of no code mark: extra, of confidence 0.40.
 

@@ -76,6 +76,26 @@ def weak_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.grow(owned.unionAll(weak), "page", least=2).select("page", "r", "c", "cluster")
 
 
+@query(
+    "CC4",
+    f"""WITH RECURSIVE {BOXES_SQL}, {GROWN_SQL}, un AS MATERIALIZED (SELECT page, r, c, page * 100 + r * 10 + c AS k FROM (SELECT page, r, c FROM w2 EXCEPT SELECT page, r, c FROM f2)),
+    e2 AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM un AS a JOIN un AS b ON a.page = b.page AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.k <> b.k), reach2 AS (SELECT k AS node, k AS other FROM un UNION SELECT node, b FROM reach2 JOIN e2 ON a = other),
+    ol AS (SELECT node AS k, min(other) % 100 AS label FROM reach2 GROUP BY node), oc AS (SELECT page, label, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1 FROM un JOIN ol USING (k) GROUP BY page, label HAVING count(*) >= 2),
+    ow AS (SELECT * FROM o0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2), gb AS (SELECT page, cluster, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1 FROM ow GROUP BY page, cluster),
+    z AS (SELECT page, cluster, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, cluster) AS rank FROM o0 GROUP BY page, cluster),
+    ho AS (SELECT oc.page, label, arg_min(gb.cluster, rank) AS host FROM oc JOIN gb USING (page) JOIN z ON z.page = gb.page AND z.cluster = gb.cluster
+      WHERE greatest(least(oc.x1, gb.x1) - greatest(oc.x0, gb.x0), 0) * greatest(least(oc.y1, gb.y1) - greatest(oc.y0, gb.y0), 0) >= 0.5 * (oc.x1 - oc.x0) * (oc.y1 - oc.y0) GROUP BY oc.page, label)
+    SELECT page, r::INT AS r, c::INT AS c, cluster::BIGINT AS cluster, false AS orphan FROM ow UNION ALL SELECT un.page, un.r::INT, un.c::INT, coalesce(host, oc.label)::BIGINT, host IS NULL FROM un JOIN ol USING (k) JOIN oc ON oc.page = un.page AND oc.label = ol.label LEFT JOIN ho ON ho.page = oc.page AND ho.label = oc.label""",
+)
+def orphan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak cells that no component reached: folded into a component whose box holds them, or seeds of their own."""
+    cells = dense_cells(spark, sf_dir)
+    owned = clusters.grid_components(cells.where("strong"), "page", 10)
+    weak = cells.where("NOT strong").select("page", "r", "c", "n", F.lit(None).cast("long").alias("cluster"))
+    grown = clusters.grow(owned.select("page", "r", "c", "n", "cluster").unionAll(weak), "page", least=2)
+    return clusters.place_orphans(grown, owned, "page", 10, least=2).select("page", "r", "c", F.col("cluster").cast("long").alias("cluster"), "orphan")
+
+
 @query("WN6", "SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT + 1 AS island FROM (SELECT event_id, user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 36000 THEN 1 ELSE 0 END AS new FROM (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t FROM events))")
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)

@@ -100,6 +100,15 @@ def part_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", verdicts.covered(box, g.Box(*map(F.lit, (0.1875, 0.3125, 0.3125, 0.25)))).alias("covered"))
 
 
+@query("V9 JN17")
+def code_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code marks (every third event of a user) and the codes (the others) that they take; what one takes no other can."""
+    e = F.col("event_id")
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("photo"), "event_id", ((e % 83) / 83.0).alias("x"), ((e % 79) / 79.0).alias("y"))
+    marks = p.where("event_id % 3 = 0").select("photo", e.alias("mark"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.lit(0.03).alias("tol"), (e % 5 == 0).alias("found"), (e % 2 == 0).alias("trusted"))
+    return verdicts.claim_codes(marks, p.where("event_id % 3 > 0").select("photo", e.alias("code"), F.col("x").alias("cx"), F.col("y").alias("cy")), "photo")
+
+
 @query(
     "V10",
     """WITH p AS (SELECT event_id, user_id, (event_id % 83) / 100.0::DOUBLE AS cx, (event_id % 79) / 100.0::DOUBLE AS cy, event_id % 2 AS side FROM events)

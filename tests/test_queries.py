@@ -170,6 +170,16 @@ def test_marks_of_one_spot_are_one(spark):
     assert sorted(r.id for r in drawings.same_spots(marks).collect()) == [2, 4, 5, 7]
 
 
+def test_codes_are_taken_once(spark):
+    from plumbline.operators import verdicts
+
+    marks = [("p", 1, 0.1, 0.1, 0.05, False, True), ("p", 2, 0.12, 0.1, 0.05, False, True), ("p", 3, 0.1, 0.1, 0.05, True, True), ("p", 4, 0.9, 0.9, 0.05, False, False), ("p", 5, 0.9, 0.9, 0.05, False, False), ("p", 6, None, 0.9, 0.05, False, True), ("q", 7, 0.5, 0.5, 0.05, False, False)]
+    codes = [("p", 11, 0.13, 0.1), ("p", 12, 0.15, 0.1), ("p", 13, 0.5, 0.5), ("r", 14, 0.1, 0.1)]
+    m = spark.createDataFrame(marks, "photo string, mark long, ex double, ey double, tol double, found boolean, trusted boolean")
+    got = {r.mark: (r.code, r.nearest and round(r.nearest, 6), r.second and round(r.second, 6), r.any_code) for r in verdicts.claim_codes(m, spark.createDataFrame(codes, "photo string, code long, cx double, cy double"), "photo").collect()}
+    assert got == {1: (11, 0.03, 0.05, False), 2: (12, 0.03, None, False), 3: (None, None, None, False), 4: (13, None, None, True), 5: (None, None, None, False), 6: (None, None, None, False), 7: (None, None, None, False)}
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.SQL)):
         assert registry.QUERIES[name](spark, SF).count() >= 0
