@@ -624,12 +624,12 @@ def brute_extract(rows):
             if 0 <= j < len(located) and host and located[j][0][0] == host and texts[j] != texts[k]:
                 n = len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(path, located[j][0][1]))))
                 best = max(best or (-1, 0, 0), (n, -j, j))
-        a, b = [x[1] for x in lines[k]], [x[1] for x in lines[best[2]]] if best else []
+        marked = any(p == 2 for p, _, _ in lines[k])  # what is left of such a page doesn't depend on its neighbour
+        a, b = [x[1] for x in lines[k]], [x[1] for x in lines[best[2]]] if best and not marked else []
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for x in range(len(a)):
             for y in range(len(b)):
                 table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
-        marked = any(p == 2 for p, _, _ in lines[k])
         out.append((i, marked, len(a) - table[-1][-1], len(texts[k]), [t for p, _, t in lines[k] if p == 2]))
     return out
 
