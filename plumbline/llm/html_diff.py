@@ -296,7 +296,9 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     dealt = _chunked(located).select("page_id", "url", "host", "chunk", "path", "guest", "html")
     # pages without a host have no neighbours: their ids spread them
     spread = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id", "url"), F.lit(CHUNKS))).otherwise(F.col("chunk"))
-    return bounded_batches(dealt).repartition("host", spread).sortWithinPartitions(*order).mapInArrow(paired, schema)
+    # chunks are few beside partitions, and of unequal bytes: twice the usual number of partitions evens them out
+    parts = 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bounded_batches(dealt).repartition(parts, "host", spread).sortWithinPartitions(*order).mapInArrow(paired, schema)
 
 
 def _partner(before: tuple | None, page: tuple, after: tuple | None) -> list[tuple[int, object, str]] | None:
