@@ -77,7 +77,8 @@ def schema_with(df: DataFrame, ddl: str) -> StructType:
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, once its session is set to Arrow batches of BATCH_BYTES at most: 10,000 texts would be hundreds of MB."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCHES).rstrip("b")) <= BATCH_BYTES:
+    now = conf.get(_BATCHES).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         conf.set(_BATCHES, str(BATCH_BYTES))
     return df
 
