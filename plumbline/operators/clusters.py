@@ -305,13 +305,14 @@ def bridge_merge(parts: DataFrame, lines: DataFrame, page: str, key: str, line:
     def shared(k: str, size: str) -> Column:
         return F.least(F.col(f"a{k}") + F.col(f"a{size}"), F.col(f"b{k}") + F.col(f"b{size}")) - F.greatest(F.col(f"a{k}"), F.col(f"b{k}"))
 
-    def reach(s: str, k: str, size: str) -> Column:
-        return F.least(F.col(f"l{k}") + F.col(f"l{size}"), F.col(f"{s}{k}") + F.col(f"{s}{size}")) - F.greatest(F.col(f"l{k}"), F.col(f"{s}{k}"))
+    def reach(k: str, size: str) -> Column:
+        stop, start = ([F.least(F.col(f"l{k}") + F.col(f"l{size}"), F.col(f"{s}{k}") + F.col(f"{s}{size}")) for s in "ab"], [F.greatest(F.col(f"l{k}"), F.col(f"{s}{k}")) for s in "ab"])
+        return stop[0] - start[0] + stop[1] - start[1]  # in this order: other sums differ in their last bit, which decides at the limit
 
     sx, sy = shared("x", "w"), shared("y", "h")
     row = sy >= 0.7 * F.least("ah", "bh")
     column = sx >= 0.7 * F.least("aw", "bw")
-    into = F.when(row, reach("a", "x", "w") + reach("b", "x", "w")).otherwise(reach("a", "y", "h") + reach("b", "y", "h"))
+    into = F.when(row, reach("x", "w")).otherwise(reach("y", "h"))
     alike = F.least("an", "bn") >= 0.30 * F.greatest("an", "bn")
     joined = p.where(~((sx > 0) & (sy > 0)) & (row | column) & (F.greatest(-sx, -sy) <= most_gap) & alike & (into >= least_reach))
     return label(parts, joined.select("a", "b"), key)

@@ -39,6 +39,11 @@ def test_totals_that_round_to_the_same_are_equal(spark):
     assert _best([0, 1, 2, 3], [0, 1, 2, 3], cost) == list(enumerate(min(totals, key=lambda c: (totals[c], c))))
 
 
+def test_bridges_at_the_least_reach_are_as_in_sql(spark, tmp_path):
+    events = [(k, 7) for k in (1122098, 1156226, 1185772, 2105404, 2172476, 2175873)]
+    assert same_on(spark, tmp_path, "bridge_merge", "events", spark.createDataFrame(events, "event_id long, user_id long"))
+
+
 def test_every_query_names_its_operators():
     assert set(registry.OPERATORS) == set(registry.QUERIES)
 
