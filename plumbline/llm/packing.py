@@ -120,6 +120,8 @@ _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+#: Marks at a word's end that are stepped over one by one.
+MARK_STEPS = 16
 #: How the tokenizer's special tokens start, which it finds before it lower-cases.
 MARK = b"<|"
 
@@ -188,10 +190,20 @@ class WordEncoder:
 
 def _split_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words with the ASCII marks at their end as words of their own, where an ASCII letter or digit stands before."""
-    last = np.maximum.accumulate(np.where(_MARKS[data], -1, np.arange(len(data))))
-    cut = last[end - 1] + 1
-    cut = cut[(cut > start) & (cut < end) & _ALNUM[data[np.maximum(cut, 1) - 1]]]
-    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    word = np.flatnonzero(_MARKS[data[end - 1]])
+    low, cut = start[word], end[word] - 1
+    going = np.arange(len(word))
+    for _ in range(MARK_STEPS):
+        going = going[cut[going] > low[going]]
+        going = going[_MARKS[data[cut[going] - 1]]]
+        if not len(going):
+            break
+        cut[going] -= 1
+    else:  # a long run of marks: all at once
+        cut = np.maximum(low, np.maximum.accumulate(np.where(_MARKS[data], -1, np.arange(len(data))))[end[word] - 1] + 1)
+    inside = (cut > low) & _ALNUM[data[cut - 1]]
+    word, cut = word[inside], cut[inside]
+    return np.insert(start, word + 1, cut), np.insert(end, word, cut)
 
 
 _encoders: dict[str, WordEncoder] = {}

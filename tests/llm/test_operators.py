@@ -743,3 +743,20 @@ def test_pipeline_stages(spark):
     assert private.where("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.packed(spark, private, SF)
     assert packed.select("doc_id").distinct().count() == private.count()
+
+
+def test_marks_at_word_ends_in_runs_of_any_length():
+    import re
+
+    from plumbline.llm import packing
+
+    texts = ["ab..", "c!" + "." * 40 + " d-", "...", "", "e.f..", "é!", "g" + "-" * 16, "h" + "-" * 17]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+    start, end, _ = packing.word_spans(data, offsets, packing.SPACE_BYTES)
+    for some in (slice(None), slice(0, 1)):  # with and without a long run
+        a, b = packing._split_marks(data, start[some], end[some])
+        got = [data[i:j].tobytes().decode() for i, j in zip(a, b, strict=True)]
+        words = [w for t in texts for w in t.split()][some]
+        met = [(w, re.fullmatch(r"(.*[a-z0-9])([!.-]+)", w)) for w in words]
+        assert got == [p for w, m in met for p in (m.groups() if m else (w,))]
